@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import embedding_dedup, license_scan, mixing, packing, quality, secret_scan, simhash
+from jobloom.llm import audio, embedding_dedup, license_scan, mixing, packing, quality, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,10 +51,35 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = audio.features(table(spark, sf_dir, "documents"))
+    count = F.length("payload")
+    spans = F.transform("spans", lambda x: F.concat_ws("-", x["start_ms"].cast("string"), x["end_ms"].cast("string")))
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        count.cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(
+            ";",
+            F.concat(F.lit("frames="), F.col("n_frames").cast("string")),
+            F.concat(F.lit("level="), F.format_number("level", 3)),
+            F.concat(F.lit("spans="), F.sha2(F.array_join(spans, ","), 256)),
+        ).alias("feature"),
+    )
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, x = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.score(x, model)
@@ -67,7 +92,9 @@ def queries() -> dict[str, Query]:
         "op3_license_scan": op3_license_scan,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_mixing": op5_mixing,
+        "op6_audio": op6_audio,
         "op8_secret_scan": op8_secret_scan,
+        "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
     }
 

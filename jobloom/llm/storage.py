@@ -16,6 +16,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jobloom-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors see."""
+    ensure_checkpoint_dir(spark)
+    return str(spark.sparkContext.getCheckpointDir())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there, so that a lost executor costs one stage only."""
     ensure_checkpoint_dir(df.sparkSession)
