@@ -22,8 +22,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group; of rows that repeat an id, one."""
-    groups = simhash.near_groups(docs, width=5, radius=4)
+    """The document of the smallest id of each near-duplicate group; of rows that repeat an id, one.
+
+    Fingerprints have 256 bits of five-word shingles; 48 differing bits stand for a similarity of about 0.75, so that
+    pairs from 0.8 are linked although the estimate varies.
+    """
+    groups = simhash.near_groups(docs, width=5, parts=4, radius=48)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     dropped = groups.where(~stays).select(F.col("doc_id").alias("dropped")).distinct()
     if dropped.count() <= BROADCAST_IDS:

@@ -10,10 +10,10 @@ WORDS = 1 << 15
 
 
 def planes_of(lanes: np.ndarray) -> np.ndarray:
-    """Bit planes (64, groups, words) of fingerprints (groups, words * 64): bit j of a word is lane j's bit."""
-    out = np.empty((64, lanes.shape[0], lanes.shape[1] // 64), dtype=np.uint64)
-    for p in range(64):
-        bits = ((lanes >> np.uint64(p)) & np.uint64(1)).astype(np.uint8)
+    """Bit planes (bits, groups, words) of fingerprints (groups, words * 64, parts): bit j of a word is lane j's bit."""
+    out = np.empty((64 * lanes.shape[2], lanes.shape[0], lanes.shape[1] // 64), dtype=np.uint64)
+    for p in range(len(out)):
+        bits = ((lanes[:, :, p // 64] >> np.uint64(p % 64)) & np.uint64(1)).astype(np.uint8)
         out[p] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
     return out
 
@@ -32,13 +32,13 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def near_rows(groups: list[np.ndarray], radius: int) -> list[tuple[int, int, np.ndarray]]:
-    """For groups of fingerprints: (group, row, mask words) of every row that has another within radius in its group.
+    """For groups of fingerprints (rows, parts of 64 bits): (group, row, mask words) of every row that has another within radius in its group.
 
     A row's block of lanes is abandoned once every lane's counter has passed the radius. Groups should be of like
     size, as all are padded to the largest.
     """
     words = -(-max(len(g) for g in groups) // 64)
-    lanes = np.zeros((len(groups), words * 64), dtype=np.uint64)
+    lanes = np.zeros((len(groups), words * 64, groups[0].shape[1]), dtype=np.uint64)
     absent = np.ones((len(groups), words * 64), dtype=np.uint8)
     for i, g in enumerate(groups):
         lanes[i, : len(g)] = g
@@ -56,15 +56,15 @@ def near_rows(groups: list[np.ndarray], radius: int) -> list[tuple[int, int, np.
         over = closed[g].copy()
         over[np.arange(len(g)), r // 64] |= np.uint64(1) << (r % 64).astype(np.uint64)
         counters = [np.zeros_like(over) for _ in range(bits)]
-        for p in range(64):
-            carry = planes[p][g] ^ (np.uint64(0) - ((own >> np.uint64(p)) & np.uint64(1)))[:, None]
+        for p in range(len(planes)):
+            carry = planes[p][g] ^ (np.uint64(0) - ((own[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)))[:, None]
             for c in counters:
                 # A carry-save half adder: the sum bit stays, the carry goes to the next counter bit.
                 onward = c & carry
                 c ^= carry
                 carry = onward
             over |= carry
-            if p % 8 == 7:
+            if p % 8 == 7 and p >= radius:
                 over |= _exceeds(counters, radius)
                 live = (over != ALL).any(axis=1)
                 if not live.any():

@@ -25,7 +25,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), width=4, radius=4)
-    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,74 +21,117 @@ SEED = 42
 LANES = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The 64-bit SimHash of a text's word shingles; 0 where there is no word."""
+def _spread(hashes: np.ndarray, part: int) -> np.ndarray:
+    """Further hash values from the first ones, by a 64-bit finalizer; part 0 is the hashes themselves."""
+    if not part:
+        return hashes
+    x = hashes + np.uint64((part * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, width: int = 4, parts: int = 1) -> list[int]:
+    """The SimHash of a text's word shingles, in parts of 64 bits; zeros where there is no word."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return [0] * parts
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((parts, 64), dtype=np.int64)
     for at in range(0, n, 65536):
         stop = min(n, at + 65536)
         last = ends[at + width - 1 : stop + width - 1] if len(words) >= width else ends[-1:]
         spans = zip(starts[at:stop].tolist(), last.tolist(), strict=True)
         hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=stop - at)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+        for p in range(parts):
+            rows = _spread(hashes, p).view(np.uint8).reshape(-1, 8)
+            ones[p] += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id_col, fp): the signed 64-bit SimHash of each row's whole text. Null and empty texts have fingerprint 0."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, parts: int = 1
+) -> DataFrame:
+    """(id_col, fp): the SimHash of each row's whole text, an array of signed 64-bit parts; zeros without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter(
-                (fingerprint(t.as_py(), width) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows
-            )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
+            fps = np.array([fingerprint(t.as_py(), width, parts) for t in batch.column(1)], dtype=np.uint64)
+            ends = np.arange(0, batch.num_rows * parts + 1, parts, dtype=np.int32)
+            cells = pa.ListArray.from_arrays(ends, pa.array(fps.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), cells], [id_col, "fp"])
 
     wanted = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return wanted.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    return wanted.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp array<bigint>")
 
 
-def _block_masks(blocks: int, radius: int) -> list[int]:
-    """Bit masks: any two fingerprints within radius agree wholly under at least one of them."""
+def _block_keys(blocks: int, radius: int):
+    """Keys of 64-bit fingerprints by masks: any two within radius agree wholly under at least one of them."""
     bounds = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [(1 << b) - (1 << a) for a, b in zip(bounds, bounds[1:], strict=False)]
-    return [sum(some) for some in combinations(parts, blocks - radius)]
+    pieces = [(1 << b) - (1 << a) for a, b in zip(bounds, bounds[1:], strict=False)]
+    masks = np.array([sum(some) for some in combinations(pieces, blocks - radius)], dtype=np.uint64)
+    return lambda fps: fps[:, :1] & masks[None, :]
+
+
+def _sampled_keys(parts: int, tables: int, bits: int):
+    """Keys by bits drawn with a fixed seed: two fingerprints at a share d of differing bits agree with (1 - d)^bits."""
+    drawn = np.random.default_rng(17).permuted(np.tile(np.arange(64 * parts), (tables, 1)), axis=1)[:, :bits]
+
+    def keys(fps: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(fps), tables), dtype=np.uint64)
+        for k in range(bits):
+            at = drawn[:, k]
+            out |= ((fps[:, at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)) << np.uint64(k)
+        return out
+
+    return keys
+
+
+def _keyed(keys):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fps = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            found = keys(fps).view(np.int64)
+            ends = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
+            cells = pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], ["node", "fp", "keys"])
+
+    return run
 
 
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list[np.ndarray]] = {}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def linked(groups: list[np.ndarray]) -> pa.RecordBatch:
+        def linked(groups: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             rows: dict[int, dict[int, np.ndarray]] = {}
-            for g, r, mask in near_rows(groups, radius):
+            for g, r, mask in near_rows([fps for _, fps in groups], radius):
                 rows.setdefault(g, {})[r] = mask
-            u, v = [], []
+            u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for g, own in rows.items():
+                nodes = groups[g][0]
                 for root, others in stars(own):
-                    u.append(groups[g][others])
-                    v.append(np.repeat(groups[g][root], len(others)))
-            ends = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (u, v)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["u", "v"])
+                    u.append(nodes[others])
+                    v.append(np.repeat(nodes[root], len(others)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], ["u", "v"])
 
         for table in whole_tiles(batches, ["t", "k"]):
             by = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("t", "k", "tile_a", "tile_b")])
-            fps = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-            edges = np.flatnonzero((by[:, 1:] != by[:, :-1]).any(axis=0)) + 1
-            for group in np.split(fps, edges):
-                if len(group) < 2:
+            nodes = table.column("node").to_numpy()
+            fps = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(nodes), -1)
+            edges = [0, *(np.flatnonzero((by[:, 1:] != by[:, :-1]).any(axis=0)) + 1).tolist(), len(nodes)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b - a < 2:
                     continue
-                size = 1 << max(3, (len(group) - 1).bit_length())
+                size = 1 << max(3, (b - a - 1).bit_length())
                 some = waiting.setdefault(size, [])
-                some.append(group)
+                some.append((nodes[a:b], fps[a:b]))
                 if len(some) * max(64, size) >= LANES:
                     yield linked(waiting.pop(size))
         for groups in waiting.values():
@@ -97,19 +140,17 @@ def _compare(radius: int):
     return run
 
 
-def links(distinct_fps: DataFrame, radius: int = 4, blocks: int = 6, chunk: int = 1024) -> DataFrame:
-    """(u, v) links that span the same components as all pairs of distinct fingerprints within radius bits.
+def links(classes: DataFrame, parts: int, radius: int, blocks: int, tables: int, bits: int, chunk: int) -> DataFrame:
+    """(u, v) links that span the components of the pairs of (node, fp) found within radius bits.
 
-    Any such pair agrees in blocks - radius of the blocks, so it shares one of the masked keys and meets in a tile;
-    a tile returns a spanning star of each group it finds, not all its pairs.
+    With one part, such a pair agrees in blocks - radius of the blocks, so it shares one of the masked keys and no
+    pair is missed. With more parts, candidates share the drawn bits of one of the tables. A tile returns a spanning
+    star of each group it finds, not all its pairs.
     """
-    masks = _block_masks(blocks, radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.explode(
-        F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(signed)])
-    )
-    rows = distinct_fps.select("fp", keys.alias("key")).select("fp", "key.t", "key.k")
-    return tiles(rows, ["t", "k"], "fp", chunk).mapInArrow(_compare(radius), "u bigint, v bigint")
+    keys = _block_keys(blocks, radius) if parts == 1 else _sampled_keys(parts, tables, bits)
+    keyed = classes.select("node", "fp").mapInArrow(_keyed(keys), "node bigint, fp array<bigint>, keys array<bigint>")
+    rows = keyed.select("node", "fp", F.posexplode("keys").alias("t", "k"))
+    return tiles(rows, ["t", "k"], "node", chunk).mapInArrow(_compare(radius), "u bigint, v bigint")
 
 
 def near_groups(
@@ -118,21 +159,30 @@ def near_groups(
     text_col: str = "text",
     width: int = 4,
     radius: int = 4,
+    parts: int = 1,
     blocks: int = 6,
+    tables: int = 32,
+    bits: int = 14,
+    chunk: int = 1024,
 ) -> DataFrame:
     """(id_col, fp, component_id) for every row of docs.
 
     Fingerprints within radius bits are linked; component_id is the smallest id reachable by links, the row's own
-    included. Rows of equal texts have equal fingerprints and so one component; null and empty texts have fingerprint
-    0 and form (with whatever lies near 0) one component. Repeated rows are kept, each with the same result. A null id
-    is returned as it is and never chosen as component_id unless no row of the component has an id. An empty table
-    gives no rows. Other columns of docs are not read.
+    included. One part of 64 bits is for small radii: every pair within radius is found (blocks must exceed radius).
+    More parts are for wide radii, where candidates come from tables of drawn bits: with 256 bits, 32 tables of 14 bits
+    find a pair at a share of 0.15 differing bits (a word-shingle similarity of 0.8) with probability 0.97.
+
+    Rows of equal texts have equal fingerprints and so one component; null and empty texts have fingerprint 0 and form
+    (with whatever lies near 0) one component. Repeated rows are kept, each with the same result. A null id is
+    returned as it is and never chosen as component_id unless no row of the component has an id. An empty table gives
+    no rows. Other columns of docs are not read.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, width))
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    found = cut(links(classes.select("fp"), radius, blocks))
-    grouped = connected_components(found, "u", "v").select(F.col("node").alias("fp"), "component")
-    rooted = classes.join(grouped, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    prints = cut(fingerprints(docs, id_col, text_col, width, parts))
+    node = F.col("fp")[0] if parts == 1 else F.xxhash64("fp")
+    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least_id")).withColumn("node", node)
+    found = cut(links(classes, parts, radius, blocks, tables, bits, chunk))
+    grouped = connected_components(found, "u", "v")
+    rooted = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = rooted.groupBy("component").agg(F.min("least_id").alias("component_id"))
     whole = cut(rooted.join(named, "component").select("fp", "component_id"))
     return prints.join(whole, "fp").select(id_col, "fp", "component_id")
