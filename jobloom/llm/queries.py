@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import audio, embedding_dedup, license_scan, mixing, packing, quality, secret_scan, simhash, token_counts
+from jobloom.llm import audio, embedding_dedup, html_extract, license_scan, mixing, packing, quality, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,11 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_mixing": op5_mixing,
         "op6_audio": op6_audio,
+        "op7_html_extract": op7_html_extract,
         "op8_secret_scan": op8_secret_scan,
         "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
