@@ -180,7 +180,7 @@ class Field:
         return labels[::-1]
 
 
-def train(pages: list[tuple[str, list[int]]], rounds: int = 200, decay: float = 1e-3) -> Field:
+def train(pages: list[tuple[str, list[int]]], rounds: int = 120, decay: float = 1e-3) -> Field:
     """Fit by gradient ascent on the mean log-likelihood of labelled pages (html, label of each leaf block)."""
     parsed = [([block_features(b) for b in leaf_blocks(page)], y) for page, y in pages]
     names = {f: i for i, f in enumerate(sorted({f for rows, _ in parsed for row in rows for f in row}))}
@@ -337,7 +337,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
 
 
 @lru_cache(maxsize=2)
-def default_field(count: int = 400, seed: int = 7) -> Field:
+def default_field(count: int = 240, seed: int = 7) -> Field:
     """The field trained on made-up labelled pages; count bounds what it is fitted on."""
     return train(labelled_pages(count, seed))
 
