@@ -46,7 +46,11 @@ def admit(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def capacity(count: int, active: int, concurrency: int | None, rate_rest: int | None) -> int:
     """M4: how many a pull may take."""
-    rooms = [count] + [max(0, concurrency - active)] * (concurrency is not None) + [max(0, rate_rest or 0)] * (rate_rest is not None)
+    rooms = [count]
+    if concurrency is not None:
+        rooms.append(max(0, concurrency - active))
+    if rate_rest is not None:
+        rooms.append(max(0, rate_rest))
     return min(rooms)
 
 

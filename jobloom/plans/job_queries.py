@@ -180,11 +180,11 @@ def _(v):
 
 
 @query("s12_projections", """SELECT d.dependency_id AS id, coalesce(j.stored_state, CASE WHEN c.job_id IS NOT NULL THEN 'completed' END,
-    'unknown') AS state, j.id IS NOT NULL AS has_row FROM (SELECT DISTINCT lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS dependency_id
+    'unknown') AS state, j.id IS NOT NULL AS has_row FROM (SELECT DISTINCT lpad(CAST(l_partkey * 13 AS VARCHAR), 12, '0') AS dependency_id
     FROM lineitem) d LEFT JOIN (SELECT * FROM jobs WHERE stored_state <> 'completed') j ON j.id = d.dependency_id
     LEFT JOIN completions c ON c.job_id = d.dependency_id""")
 def _(v):
-    wanted = v.table("lineitem").select(F.lpad(c("l_partkey").cast("string"), 12, "0").alias("id")).distinct()
+    wanted = v.table("lineitem").select(F.lpad((c("l_partkey") * 13).cast("string"), 12, "0").alias("id")).distinct()
     return J.projections(wanted, v.jobs.where("stored_state <> 'completed'"), v.completions)
 
 
@@ -213,7 +213,7 @@ def _(v):
 GROUPED_SQL = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY priority, run_at, group_order, id) AS group_position
     FROM live WHERE group_id IS NOT NULL AND queue = 'q2'), active AS (SELECT group_id, count(*) AS n FROM jobs
     WHERE stored_state = 'active' AND queue = 'q2' AND group_id IS NOT NULL GROUP BY group_id),
-room AS (SELECT g.group_id, last_served, least(60, greatest(0, coalesce(concurrency_limit, 10) - coalesce(n, 0)),
+room AS (SELECT g.group_id, last_served, least(60, greatest(0, coalesce(concurrency_limit, 1000) - coalesce(n, 0)),
     greatest(0, coalesce(rate_limit, 20) - rate_count)) AS available FROM groups g LEFT JOIN active USING (group_id) WHERE NOT paused)
 SELECT id, group_id, group_position FROM ranked JOIN room USING (group_id) WHERE group_position <= available
 ORDER BY group_position, last_served NULLS FIRST, group_id LIMIT 60"""
@@ -223,7 +223,7 @@ ORDER BY group_position, last_served NULLS FIRST, group_id LIMIT 60"""
 def _(v):
     own = v.jobs.where("queue = 'q2'")
     blocked = J.unmet(v.dependencies, v.completions)
-    return J.claim_grouped(own, blocked, v.groups, NOW, 60, 10, 20).select("id", "group_id", "group_position")
+    return J.claim_grouped(own, blocked, v.groups, NOW, 60, 1000, 20).select("id", "group_id", "group_position")
 
 
 @query("o4_claim_all", f""", alone AS (SELECT id, 0 AS source FROM live WHERE group_id IS NULL AND queue = 'q4' ORDER BY {READY_SQL} LIMIT 200),
@@ -291,10 +291,10 @@ def _(v):
     return J.with_group_policy(v.jobs, F.broadcast(v.groups)).select("id", "group_paused")
 
 
-@query("j4_missing", """SELECT DISTINCT lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS id FROM lineitem
-    WHERE lpad(CAST(l_partkey AS VARCHAR), 12, '0') NOT IN (SELECT id FROM jobs)""")
+@query("j4_missing", """SELECT DISTINCT lpad(CAST(l_partkey * 13 AS VARCHAR), 12, '0') AS id FROM lineitem
+    WHERE lpad(CAST(l_partkey * 13 AS VARCHAR), 12, '0') NOT IN (SELECT id FROM jobs)""")
 def _(v):
-    wanted = v.table("lineitem").select(F.lpad(c("l_partkey").cast("string"), 12, "0").alias("id")).distinct()
+    wanted = v.table("lineitem").select(F.lpad((c("l_partkey") * 13).cast("string"), 12, "0").alias("id")).distinct()
     return J.missing(wanted, v.jobs, v.completions)
 
 

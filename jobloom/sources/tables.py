@@ -83,7 +83,9 @@ class Views:
         lines = self.table("lineitem").where("l_linenumber = 1 and l_orderkey % 2 = 0")
         pairs = lines.select(padded(F.col("l_orderkey")).alias("job_id"), padded(F.col("l_partkey")).alias("dependency_id"))
         ids = self.table("orders").select(padded(F.col("o_orderkey")).alias("dependency_id"))
-        return pairs.distinct().join(ids, "dependency_id", "left_semi").select("job_id", "dependency_id")
+        known = pairs.distinct().join(ids, "dependency_id", "left_semi").select("job_id", "dependency_id")
+        back = known.where("job_id like '%50'").select(F.col("dependency_id").alias("job_id"), F.col("job_id").alias("dependency_id"))
+        return known.unionByName(back).distinct()
 
     @cached_property
     def completions(self) -> DataFrame:
@@ -105,7 +107,7 @@ class Views:
             F.concat_ws(":", F.col("user_id").cast("string"), kind).alias("dedup_key"),
             millis(F.col("ts")).alias("occurred_at"),
             F.col("value"),
-            (F.col("event_id") % 97).alias("tx"),
+            (F.col("event_id") % 997).alias("tx"),
         )
 
     @cached_property
@@ -135,7 +137,7 @@ class Views:
 
     @cached_property
     def groups(self) -> DataFrame:
-        rows = [(f"g{i}", i == 3, 20 + 5 * i if i else None, 30 if i % 2 else None, i, None if i == 4 else 100 - i) for i in range(5)]
+        rows = [(f"g{i}", i == 3, 2000 + 5 * i if i else None, 30 if i % 2 else None, i, None if i == 4 else 100 - i) for i in range(7)]
         return self.spark.createDataFrame(
             rows, "group_id string, paused boolean, concurrency_limit int, rate_limit int, rate_count int, last_served int"
         )
@@ -147,7 +149,6 @@ class Views:
         return turn.withColumn("id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
 
 
-_MS = "epoch_ms({})"
 #: The same views for DuckDB.
 VIEWS_SQL = f"""
 base_jobs AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, 'q' || (o_custkey % 8) AS queue,
@@ -164,15 +165,16 @@ base_jobs AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, 'q' || (o
 jobs AS (SELECT *, CASE WHEN stored_state <> 'pending' THEN run_at + 3600000 END AS started_at,
     CASE WHEN stored_state = 'active' THEN run_at + 3600000 + wait_days * CAST(10 AS BIGINT) * {DAY} END AS heartbeat_at,
     CASE WHEN stored_state = 'completed' THEN run_at + 7200000 END AS completed_at FROM base_jobs),
-cyclic AS (SELECT DISTINCT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS job_id,
+known AS (SELECT DISTINCT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS job_id,
     lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS dependency_id FROM lineitem
     WHERE l_linenumber = 1 AND l_orderkey % 2 = 0 AND l_partkey IN (SELECT o_orderkey FROM orders)),
+cyclic AS (SELECT job_id, dependency_id FROM known UNION SELECT dependency_id, job_id FROM known WHERE job_id LIKE '%50'),
 dependencies AS (SELECT * FROM cyclic WHERE job_id > dependency_id),
 completions AS (SELECT id AS job_id, queue, completed_at, price AS result FROM jobs WHERE stored_state = 'completed'),
 log AS (SELECT event_id AS id, 'q' || (user_id % 8) AS queue, CASE event_type WHEN 'purchase' THEN 'completed'
     WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pulled' WHEN 'click' THEN 'progress' ELSE 'pushed' END AS event_type,
     event_id % 2 = 0 AS terminal, user_id || ':' || event_type AS dedup_key, epoch_ms(ts) AS occurred_at, value,
-    event_id % 97 AS tx FROM events),
+    event_id % 997 AS tx FROM events),
 dlq AS (SELECT l_orderkey * 10 + l_linenumber AS entry_id, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS job_id,
     'q' || (l_suppkey % 8) AS queue, epoch_ms(l_shipdate) AS entered_at,
     [{", ".join(f"'{r}'" for r in REASONS)}][l_linenumber % 7 + 1] AS reason,
@@ -183,9 +185,9 @@ dlq AS (SELECT l_orderkey * 10 + l_linenumber AS entry_id, lpad(CAST(l_orderkey
 dead AS (SELECT DISTINCT job_id FROM dlq WHERE entry_id % 10 = 1 AND entry_id % 50 = 1),
 queue_state AS (SELECT 'q' || i AS queue, i IN (2, 5) AS paused, CAST(i * 40 AS INTEGER) AS concurrency,
     i % 2 = 1 AS auto_retry, 2 AS max_auto_retries FROM range(10) AS r(i)),
-groups AS (SELECT 'g' || i AS group_id, i = 3 AS paused, CASE WHEN i > 0 THEN CAST(20 + 5 * i AS INTEGER) END AS concurrency_limit,
+groups AS (SELECT 'g' || i AS group_id, i = 3 AS paused, CASE WHEN i > 0 THEN CAST(2000 + 5 * i AS INTEGER) END AS concurrency_limit,
     CASE WHEN i % 2 = 1 THEN 30 END AS rate_limit, CAST(i AS INTEGER) AS rate_count,
-    CASE WHEN i <> 4 THEN CAST(100 - i AS INTEGER) END AS last_served FROM range(5) AS r(i)),
+    CASE WHEN i <> 4 THEN CAST(100 - i AS INTEGER) END AS last_served FROM range(7) AS r(i)),
 chain AS (SELECT conv_id, turn, role, conv_id || ':' || turn AS id FROM conversations),
 stated AS (SELECT j.*, CASE WHEN d.job_id IS NOT NULL THEN 'failed' WHEN stored_state <> 'pending' THEN stored_state
     WHEN run_at > {NOW} THEN 'delayed' WHEN priority > 0 THEN 'prioritized' ELSE 'waiting' END AS state
