@@ -32,7 +32,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     dropped = groups.where(~stays).select(F.col("doc_id").alias("dropped")).distinct()
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, docs.doc_id.eqNullSafe(F.col("dropped")), "left_anti")
+    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped"]), "left_anti")
     repeated = groups.where(stays).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
 
@@ -47,7 +47,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs, F.array(F.col("source").cast("string")), whole_documents=True)
     times = F.when(F.col("mix_size") > 0, F.col("mix_taken") / F.col("mix_size")).otherwise(0).cast("int")
     copies = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))
-    return taken.withColumn("copy", copies).select(docs.columns)
+    return taken.withColumn("mix_copy", copies).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

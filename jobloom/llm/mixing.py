@@ -187,13 +187,14 @@ def mix(
         rows.append((p, whole[p], at, rest, group, *own))
     plan = docs.sparkSession.createDataFrame(
         rows,
-        "mix_pattern string, whole bigint, at bigint, rest bigint, grouped bigint, "
+        "mix_pattern string, mix_whole bigint, mix_at bigint, mix_rest bigint, mix_grouped bigint, "
         "mix_source_size bigint, mix_target double",
     )
-    here = F.floor(F.col("mix_size") * F.col("rest") / F.col("grouped"))
+    here = F.floor(F.col("mix_size") * F.col("mix_rest") / F.col("mix_grouped"))
     if whole_documents:
-        here = F.when(2 * F.col("rest") >= F.col("grouped"), F.col("mix_size")).otherwise(0)
-    further = F.when(F.col("mix_place") < F.col("at"), F.col("mix_size")).when(F.col("mix_place") == F.col("at"), here)
-    taken = (F.col("whole") * F.col("mix_size") + F.coalesce(further, F.lit(0))).cast("bigint")
+        here = F.when(2 * F.col("mix_rest") >= F.col("mix_grouped"), F.col("mix_size")).otherwise(0)
+    before, at_cut = F.col("mix_place") < F.col("mix_at"), F.col("mix_place") == F.col("mix_at")
+    further = F.when(before, F.col("mix_size")).when(at_cut, here)
+    taken = (F.col("mix_whole") * F.col("mix_size") + F.coalesce(further, F.lit(0))).cast("bigint")
     mixed = known.join(F.broadcast(plan), known.mix_pattern.eqNullSafe(plan.mix_pattern)).withColumn("mix_taken", taken)
     return mixed.select(docs.columns + ["mix_size", "mix_taken", "mix_source_size", "mix_target"])

@@ -22,6 +22,8 @@ ENCODINGS = [
     ("base32", r"^[A-Z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("base64", r"^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 ]
+#: Columns that with_spans adds; their names are its own, so that no column of the input is lost.
+BASE, JUDGED, SPANS = "secret_base_spans", "secret_judged", "secret_spans"
 #: Bins of -log10(p) in which the false-discovery cut is found.
 BIN, TOP = 0.05, 20.0
 
@@ -175,7 +177,7 @@ def cuts(docs: DataFrame, text_col: str, rate: float) -> dict[str, float]:
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", rate: float = 0.01) -> DataFrame:
-    """docs with `spans`, an array of (s, k, e), k 0 to 2 for the base kinds and 3 for `random`, by start and kind.
+    """docs with BASE and SPANS, arrays of (s, k, e), k 0 to 2 for the base kinds and 3 for `random`, by start and kind.
 
     A candidate is a random span when its stratum's false-discovery control does not clear it and no base span holds
     it. Only the cuts, a few numbers per stratum, come to the driver.
@@ -184,11 +186,11 @@ def with_spans(docs: DataFrame, text_col: str = "text", rate: float = 0.01) -> D
     at = cuts(docs.select(text.alias("text")), "text", rate)
     pairs = [F.lit(x) for pair in sorted(at.items()) for x in pair] or [F.lit(""), F.lit(0.0)]
     cut_of = lambda s: F.coalesce(F.try_element_at(F.create_map(*pairs), s), F.lit(0.0))
-    based = docs.withColumns({"base_spans": base_spans(text), "judged": candidates(text)})
-    held = lambda c: F.exists("base_spans", lambda b: (b["s"] <= c["s"]) & (b["e"] >= c["e"]))
-    kept = F.filter("judged", lambda c: (c["p"] > cut_of(c["stratum"])) & ~held(c))
+    based = docs.withColumns({BASE: base_spans(text), JUDGED: candidates(text)})
+    held = lambda c: F.exists(BASE, lambda b: (b["s"] <= c["s"]) & (b["e"] >= c["e"]))
+    kept = F.filter(JUDGED, lambda c: (c["p"] > cut_of(c["stratum"])) & ~held(c))
     more = F.transform(kept, lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e")))
-    return based.withColumn("spans", F.array_sort(F.concat("base_spans", more))).drop("judged")
+    return based.withColumn(SPANS, F.array_sort(F.concat(BASE, more))).drop(JUDGED)
 
 
 def written(spans: Column) -> Column:
@@ -205,14 +207,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     null ids are kept, each with its own result; an empty table gives no rows; other columns are not read.
     """
     found = with_spans(docs.select(F.col(id_col), F.col(text_col)), text_col, rate)
-    count = lambda k: F.size(F.filter("base_spans", lambda x: x["k"] == k)).cast("bigint")
+    count = lambda k: F.size(F.filter(BASE, lambda x: x["k"] == k)).cast("bigint")
     return found.select(
         id_col,
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"),
-        written(F.col("spans")).alias("spans"),
+        F.sha2(written(F.col(BASE)), 256).alias("base_sha256"),
+        written(F.col(SPANS)).alias("spans"),
     )
 
 
@@ -227,5 +229,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rate
         return F.struct(F.greatest(state["at"], x["e"]).alias("at"), grown.alias("out"))
 
     tail = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", first, step, tail)).otherwise(text)
+    clean = F.when(F.size(SPANS) > 0, F.aggregate(SPANS, first, step, tail)).otherwise(text)
     return with_spans(docs, text_col, rate).withColumn(text_col, clean).select(docs.columns)
