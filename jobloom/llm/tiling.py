@@ -9,7 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.llm.storage import cut
+
+#: Large buckets' members are dealt to so many tasks where their list is joined by a shuffle.
 SALTS = 8
+#: So many large buckets are listed to every task; beyond, rows and list are shuffled.
+BROADCAST_BUCKETS = 50_000
 
 
 def tiles(rows: DataFrame, keys: list[str], member: str, chunk: int) -> DataFrame:
@@ -17,24 +22,24 @@ def tiles(rows: DataFrame, keys: list[str], member: str, chunk: int) -> DataFram
 
     A bucket (equal keys) of more than chunk members is split by a hash of member into parts; each two parts meet in
     the tile (tile_a, tile_b), and each part in its own tile (p, p). Every pair of a bucket so meets, and a tile holds
-    about two chunks at most. Buckets of one member make no tile.
+    about two chunks at most.
     """
-    many = rows.groupBy(*keys).agg(F.count("*").alias("members")).where("members > 1")
-    many = many.select(
-        *keys,
-        F.ceil(F.col("members") / chunk).cast("int").alias("parts"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(member, F.lit(11)), F.lit(SALTS)).cast("int"))
-    dealt = salted.join(many, [*keys, "salt"]).withColumn(
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("members")).where(F.col("members") > chunk)
+    large = cut(counts.select(*keys, F.ceil(F.col("members") / chunk).cast("int").alias("parts")))
+    if large.count() <= BROADCAST_BUCKETS:
+        marked = rows.join(F.broadcast(large), keys, "left")
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64(member, F.lit(11)), F.lit(SALTS)).cast("int"))
+        spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = salted.join(spread, [*keys, "salt"], "left").drop("salt")
+    dealt = marked.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn(
         "part", F.pmod(F.xxhash64(member, F.lit(7)), F.col("parts")).cast("int")
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     return (
-        dealt.withColumn("other", other)
+        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("tile_a", F.least("part", "other"))
         .withColumn("tile_b", F.greatest("part", "other"))
-        .drop("salt", "parts", "other")
+        .drop("parts", "other")
         .repartition(*keys, "tile_a", "tile_b")
         .sortWithinPartitions(*keys, "tile_a", "tile_b")
     )
