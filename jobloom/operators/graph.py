@@ -105,3 +105,15 @@ def chain_edges(steps: DataFrame, chain: str, order: str, node: str) -> DataFram
 def fan_in_edges(steps: DataFrame, final: str) -> DataFrame:
     """One final job depends on every step."""
     return steps.select(c("node").alias("src"), F.lit(final).alias("dst"))
+
+
+def admitted_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """The new edges (src, dst) that close no cycle over the existing ones: those whose dst does not reach src."""
+    starts = new.select(c("dst").alias("node")).distinct()
+    back = reachable(edges, starts).select(c("start").alias("dst"), c("node").alias("src"))
+    return new.where("src <> dst").join(back, ["src", "dst"], "left_anti")
+
+
+def tree_edges(parents: DataFrame, node: str, parent: str) -> DataFrame:
+    """Parent to child; children run first in a flow, so the edge is a dependency of the parent."""
+    return parents.where(c(parent).isNotNull()).select(c(parent).alias("src"), c(node).alias("dst"))

@@ -222,3 +222,47 @@ def repeat_successors(done: DataFrame, now: int) -> DataFrame:
     following = F.lit(now) + c("every")
     more = (c("max_runs").isNull() | (c("runs") + 1 < c("max_runs"))) & (c("end_at").isNull() | (following <= c("end_at")))
     return done.where(more).withColumn("runs", c("runs") + 1).withColumn("run_at", following)
+
+
+def set_paused(queue_state: DataFrame, queue: str, paused: bool) -> DataFrame:
+    """M16"""
+    return queue_state.withColumn("paused", F.when(c("queue") == queue, F.lit(paused)).otherwise(c("paused")))
+
+
+def purge_expired(dlq: DataFrame, now: int) -> DataFrame:
+    """Entries that have not expired."""
+    return dlq.where(c("expires_at").isNull() | (c("expires_at") > now))
+
+
+def evict(dlq: DataFrame, most: int) -> DataFrame:
+    """Each queue's newest entries up to a number."""
+    by = Window.partitionBy("queue").orderBy(c("entered_at").desc_nulls_last(), c("entry_id").desc())
+    return dlq.withColumn("keep_rank", F.row_number().over(by)).where(c("keep_rank") <= most).drop("keep_rank")
+
+
+def retry_completed(jobs: DataFrame, queue: str, now: int, limit: int) -> DataFrame:
+    """The queue's completed jobs, oldest first and so many at most, as pending jobs."""
+    some = jobs.where((c("queue") == queue) & (c("stored_state") == "completed")).orderBy("completed_at", "id").limit(limit)
+    none = F.lit(None).cast("bigint")
+    to = {"stored_state": F.lit("pending"), "run_at": F.lit(now).cast("bigint"), "attempts": F.lit(0), "started_at": none, "completed_at": none}
+    return some.withColumns(to)
+
+
+def keep_logs(logs: DataFrame, added: DataFrame, most: int) -> DataFrame:
+    """Logs with the added lines, each job's newest so many."""
+    by = Window.partitionBy("job_id").orderBy(c("id").desc())
+    both = logs.unionByName(added).withColumn("n", F.row_number().over(by))
+    return both.where(c("n") <= most).drop("n")
+
+
+def archive(executions: DataFrame, now: int, age: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Finished executions not updated for an age, oldest first and so many at most; and what stays."""
+    old = executions.where(c("state").isin("completed", "failed") & (c("updated_at") <= now - age))
+    gone = old.orderBy("updated_at", "id").limit(limit)
+    return gone, executions.join(gone.select("id"), "id", "left_anti")
+
+
+def unneeded_dependencies(dependencies: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Edges of jobs that are gone or done."""
+    live = jobs.where("stored_state <> 'completed'").select(c("id").alias("job_id"))
+    return dependencies.join(live, "job_id", "left_anti")

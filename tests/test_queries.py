@@ -2,7 +2,7 @@
 
 import pytest
 
-from jobloom.plans import job_queries, metric_queries, state_queries  # noqa: F401
+from jobloom.plans import job_queries, metric_queries, more_queries, state_queries  # noqa: F401
 from jobloom.plans.registry import PLANS, SQL, queries
 from tests.same_rows import compare, connect
 
