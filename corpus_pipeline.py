@@ -1,4 +1,9 @@
-"""The corpus pipeline: low quality out, near-duplicates out, secrets masked, sources mixed, documents packed."""
+"""The corpus pipeline: low quality out, near-duplicates out, secrets masked, sources mixed, documents packed.
+
+Every stage takes null ids, texts and sources, empty and very long texts, repeated rows, empty tables and further
+columns, as the operator that it calls defines it: a null or empty text is scored like any other, is one class of
+near-duplicates, holds no secret, is never taken by the mix, and packs as one token.
+"""
 
 from __future__ import annotations
 
