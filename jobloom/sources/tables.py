@@ -16,8 +16,8 @@ REASONS = ["explicit_fail", "max_attempts_exceeded", "timeout", "stalled", "ttl_
 
 def millis(ts: Column) -> Column:
     """Epoch milliseconds of a timestamp without time zone, whatever the session's zone."""
-    clock = F.hour(ts) * 3600000 + F.minute(ts) * 60000 + F.date_format(ts, "s").cast("int") * 1000
-    return (F.unix_date(ts.cast("date")).cast("bigint") * DAY + clock + F.date_format(ts, "SSS").cast("int")).cast("bigint")
+    clock = F.hour(ts) * 3600000 + F.minute(ts) * 60000 + (F.date_part(F.lit("SECOND"), ts) * 1000).cast("int")
+    return (F.unix_date(ts.cast("date")).cast("bigint") * DAY + clock).cast("bigint")
 
 
 def padded(key: Column) -> Column:
