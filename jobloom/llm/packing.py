@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.llm.byte_words import loaded, plain, signs
+
 SCHEMA = (
     "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, "
     "sequence_tokens bigint, padding bigint"
@@ -19,35 +23,55 @@ SCHEMA = (
 
 
 class WordEncoder:
-    """Token ids of whole texts; words between ASCII white space are encoded once and remembered.
+    """Token ids of whole texts; words between white space are encoded once and remembered as bytes.
 
-    The tokenizer drops white space and never joins what stands on its two sides, so the ids of a text are those of
-    its words in turn. The memory is emptied at `most` words, which only costs time.
+    The tokenizer lower-cases, drops white space and never joins what stands on its two sides, so the ids of a text are
+    those of its words in turn; a letter and the comma or stop after it are apart as well. Texts with signs on which
+    the two notions of white space or of lower case differ are encoded as they are. The memory is emptied at `most`
+    words, which only costs time.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, most: int = 600_000):
+        self.tokenizer = loaded(path)
+        self.model = self.tokenizer.model
         self.most = most
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is not None:
+            return found
+        if plain(word):
+            found = self._ids([t.id for t in self.model.tokenize(signs(word))])
+        elif word[-1] in ",." and plain(word[:-1]):
+            found = self._word(word[:-1]) + self._word(word[-1])
+        else:
+            found = self._ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self.known[word] = found
+        return found
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.translate(_SPACES).split(" ")
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 10_000):
-                some = new[at : at + 10_000]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.known[w] = e.ids
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype=np.uint32)
+        if _ODD.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        words = text.lower().split()
+        if len(self.known) > self.most:
+            self.known.clear()
+        for word in set(words):
+            if word not in self.known:
+                self._word(word)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.uint32)
+
+
+_ODD = re.compile("[\x1c-\x1f\u0130\u03a3]")
 
 
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    return WordEncoder(path)
 
 
 class Windows:
@@ -127,7 +151,7 @@ def _split(piece, room: int):
 
 def _packed(path: str, end_id: int, window: int, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = encoder(path)
         windows = Windows(window, TaskContext.get().partitionId() << 36)
         out: list[tuple] = []
 
