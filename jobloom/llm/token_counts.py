@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.llm.byte_words import loaded, plain, signs
+
 #: Pieces that the byte-level tokenizer never joins: a word with the one space before it, or white space.
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 SCHEMA = "section bigint, start bigint, `end` bigint, n_tokens bigint, n_crossing bigint, doc_tokens bigint"
@@ -19,39 +23,51 @@ SCHEMA = "section bigint, start bigint, `end` bigint, n_tokens bigint, n_crossin
 class SpanEncoder:
     """Character spans of a text's tokens under a byte-level tokenizer; pieces are encoded once and remembered."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, most: int = 500_000):
+        self.tokenizer = loaded(path)
+        self.model = self.tokenizer.model
         self.most = most
-        self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+
+    def _tokens(self, piece: str) -> list[str]:
+        word = piece[1:] if piece[0] == " " else piece
+        if plain(word):
+            return [t.value for t in self.model.tokenize(signs(piece))]
+        if word and word[-1] in ",." and plain(word[:-1]):
+            return [*self._tokens(piece[:-1]), *self._tokens(word[-1])]
+        return self.tokenizer.encode(piece, add_special_tokens=False).tokens
 
-    def _spans(self, piece: str, tokens: list[str]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    def _spans(self, piece: str) -> tuple[bytes, bytes]:
         """Starts and ends in characters; each sign of a byte-level token stands for one byte."""
-        ends = np.cumsum([len(t) for t in tokens])
-        starts = ends - [len(t) for t in tokens]
-        owner = np.repeat(np.arange(len(piece)), [len(c.encode()) for c in piece])
-        return tuple(owner[starts].tolist()), tuple((owner[ends - 1] + 1).tolist())
+        ends = list(accumulate(map(len, self._tokens(piece))))
+        starts = [0, *ends[:-1]]
+        if not piece.isascii():
+            owner = [i for i, c in enumerate(piece) for _ in c.encode()]
+            starts, ends = [owner[s] for s in starts], [owner[e - 1] + 1 for e in ends]
+        return array("i", starts).tobytes(), array("i", ends).tobytes()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         pieces = _PIECE.findall(text)
-        new = [p for p in set(pieces) if p not in self.known]
-        if len(self.known) + len(new) > self.most:
+        if len(self.known) > self.most:
             self.known.clear()
-            new = list(set(pieces))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = self._spans(p, e.tokens)
+        for p in set(pieces):
+            if p not in self.known:
+                self.known[p] = self._spans(p)
         spans = [self.known[p] for p in pieces]
-        first = np.cumsum([0, *map(len, pieces)])[:-1]
-        base = np.repeat(first, [len(s[0]) for s in spans])
-        starts = np.fromiter(chain.from_iterable(s[0] for s in spans), dtype=np.int64, count=len(base))
-        ends = np.fromiter(chain.from_iterable(s[1] for s in spans), dtype=np.int64, count=len(base))
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        counts = np.fromiter((len(s) for s, _ in spans), dtype=np.int64, count=len(pieces)) // 4
+        base = np.repeat(np.cumsum(sizes) - sizes, counts)
+        starts = np.frombuffer(b"".join([s for s, _ in spans]), dtype=np.int32)
+        ends = np.frombuffer(b"".join([e for _, e in spans]), dtype=np.int32)
         return starts + base, ends + base
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> SpanEncoder:
+    """One encoder for all tasks of a worker."""
+    return SpanEncoder(path)
+
+
 def line_sections(text: str) -> list[tuple[int, int]]:
     """Spans of a text's lines, each with its line feed; an empty text has one empty line."""
     ends = [m.end() for m in re.finditer("\n", text)]
@@ -111,7 +127,7 @@ def count_tokens(
     names = [x.split()[0].strip("`") for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = SpanEncoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             out: list[tuple] = []
             owners: list[int] = []
