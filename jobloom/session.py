@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +17,14 @@ def session(app: str = "jobloom", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once a session, so that they need no path of the driver's."""
+    context = spark.sparkContext
+    if getattr(context, "jobloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="jobloom-ship-")
+    context.addPyFile(shutil.make_archive(f"{folder}/jobloom", "zip", package.parent, package.name))
+    context.jobloom_shipped = True
