@@ -85,8 +85,8 @@ def members(mask: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
 
 
-def stars(rows: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:
-    """Components of rows' masks as (root row, other rows): a spanning star in place of all pairs."""
+def components(rows: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """Rows of each component of the rows' masks."""
     out = []
     seen: set[int] = set()
     for root in sorted(rows):
@@ -101,5 +101,5 @@ def stars(rows: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:
             front = members(spread)
         inside = members(reached)
         seen.update(inside.tolist())
-        out.append((root, inside[inside != root]))
+        out.append(inside)
     return out

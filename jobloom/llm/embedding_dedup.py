@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from jobloom.llm.components import connected_components
 from jobloom.llm.storage import cut
-from jobloom.llm.tiling import tiles, whole_tiles
+from jobloom.llm.tiling import contracted, tiles, whole_tiles
 
 
 def usable(vector: Column) -> Column:
@@ -51,9 +51,13 @@ def _signed(tables: int, bits: int, seed: int):
     return run
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest row reachable from each of n rows over links (i, j)."""
-    label = np.arange(n)
+def _roots(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest node reachable from each row over links (i, j)."""
+    order = np.argsort(node, kind="stable")
+    rank = np.empty(len(node), dtype=np.int64)
+    rank[order] = np.arange(len(node))
+    i, j = rank[i], rank[j]
+    label = np.arange(len(node))
     while True:
         before = label.copy()
         low = np.minimum(label[i], label[j])
@@ -61,7 +65,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         np.minimum.at(label, j, low)
         label = label[label]
         if (label == before).all():
-            return label
+            return node[order][label[rank]]
 
 
 def _verified(threshold: float):
@@ -97,9 +101,9 @@ def _verified(threshold: float):
                 if not len(i):
                     continue
                 n_links = np.bincount(i, copies[j], b - a) + np.bincount(j, copies[i], b - a)
-                roots = _roots(b - a, i, j)
+                roots = _roots(node, i, j)
                 rows = np.flatnonzero(n_links)
-                cols = [node[rows], node[roots[rows]], n_links[rows].astype(np.int64)]
+                cols = [node[rows], roots[rows], n_links[rows].astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["node", "root", "links"])
 
     return run
@@ -143,7 +147,7 @@ def near_vectors(
         _verified(threshold), "node bigint, root bigint, links bigint"
     )
     found = cut(found)
-    grouped = connected_components(found, "node", "root")
+    grouped = connected_components(contracted(found, "node", "root"), "node", "root")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     rooted = (
         classes.select("node", "vector", "least_id", "copies")

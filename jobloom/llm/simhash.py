@@ -11,10 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.bitslice import near_rows, stars
+from jobloom.llm.bitslice import components, near_rows
 from jobloom.llm.components import connected_components
 from jobloom.llm.storage import cut
-from jobloom.llm.tiling import tiles, whole_tiles
+from jobloom.llm.tiling import contracted, tiles, whole_tiles
 
 SEED = 42
 #: Lanes gathered before small tiles are compared together.
@@ -115,10 +115,10 @@ def _compare(radius: int):
                 rows.setdefault(g, {})[r] = mask
             u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for g, own in rows.items():
-                nodes = groups[g][0]
-                for root, others in stars(own):
-                    u.append(nodes[others])
-                    v.append(np.repeat(nodes[root], len(others)))
+                for inside in components(own):
+                    nodes = np.sort(groups[g][0][inside])
+                    u.append(nodes[1:])
+                    v.append(np.repeat(nodes[0], len(nodes) - 1))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], ["u", "v"])
 
         for table in whole_tiles(batches, ["t", "k"]):
@@ -145,7 +145,7 @@ def links(classes: DataFrame, parts: int, radius: int, blocks: int, tables: int,
 
     With one part, such a pair agrees in blocks - radius of the blocks, so it shares one of the masked keys and no
     pair is missed. With more parts, candidates share the drawn bits of one of the tables. A tile returns a spanning
-    star of each group it finds, not all its pairs.
+    star of each group it finds, from its smallest node, not all its pairs.
     """
     keys = _block_keys(blocks, radius) if parts == 1 else _sampled_keys(parts, tables, bits)
     keyed = classes.select("node", "fp").mapInArrow(_keyed(keys), "node bigint, fp array<bigint>, keys array<bigint>")
@@ -180,8 +180,8 @@ def near_groups(
     prints = cut(fingerprints(docs, id_col, text_col, width, parts))
     node = F.col("fp")[0] if parts == 1 else F.xxhash64("fp")
     classes = prints.groupBy("fp").agg(F.min(id_col).alias("least_id")).withColumn("node", node)
-    found = cut(links(classes, parts, radius, blocks, tables, bits, chunk))
-    grouped = connected_components(found, "u", "v")
+    found = links(classes, parts, radius, blocks, tables, bits, chunk)
+    grouped = connected_components(contracted(found, "u", "v"), "u", "v")
     rooted = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = rooted.groupBy("component").agg(F.min("least_id").alias("component_id"))
     whole = cut(rooted.join(named, "component").select("fp", "component_id"))

@@ -45,6 +45,17 @@ def tiles(rows: DataFrame, keys: list[str], member: str, chunk: int) -> DataFram
     )
 
 
+def contracted(stars: DataFrame, member: str, root: str) -> DataFrame:
+    """Fewer links (member, root) of the same components: each member keeps its smallest root, which takes its others.
+
+    A member has one root, no larger than itself, in each tile that it stands in, so no more roots than tiles.
+    """
+    roots = stars.groupBy(member).agg(F.min(root).alias("least"), F.collect_set(root).alias("roots"))
+    own = roots.select(F.col(member), F.col("least").alias(root))
+    others = roots.where(F.size("roots") > 1).select(F.explode("roots").alias(member), F.col("least").alias(root))
+    return own.unionByName(others).where(F.col(member) != F.col(root)).distinct()
+
+
 def whole_tiles(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup sorted batches so that each table holds whole tiles."""
     kept: list[pa.RecordBatch] = []
