@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm.byte_words import loaded, plain, signs
+from jobloom.llm.storage import small_batches
 
 SCHEMA = (
     "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, "
@@ -205,6 +206,7 @@ def pack(
     A null or empty text is the one token end_id. Repeated rows are packed as often as they come; a null id is kept.
     Very long texts give many whole windows. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return wanted.mapInArrow(_packed(tokenizer, end_id, window, id_col), f"`{id_col}` {kind}, {SCHEMA}")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.storage import cut
+from jobloom.llm.storage import cut, small_batches
 
 UPPER = string.ascii_uppercase.encode()
 DIGITS = string.digits.encode()
@@ -68,6 +68,7 @@ def _featured(id_col: str, kind: pa.DataType | None = None):
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, x): the statistics of each row's whole text."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return wanted.mapInArrow(_featured(id_col), f"`{id_col}` {kind}, x array<double>")
@@ -193,4 +194,5 @@ def keep_good(docs: DataFrame, model: Discriminant | Constant, text_col: str = "
                 x = np.array([statistics(t.as_py()) for t in batch.column(text_col)])
                 yield batch.filter(pa.array(model.score(x) >= least))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

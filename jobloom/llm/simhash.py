@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from jobloom.llm.bitslice import components, near_rows
 from jobloom.llm.components import connected_components
-from jobloom.llm.storage import cut
+from jobloom.llm.storage import cut, small_batches
 from jobloom.llm.tiling import contracted, tiles, whole_tiles
 
 SEED = 42
@@ -65,6 +65,7 @@ def fingerprints(
             cells = pa.ListArray.from_arrays(ends, pa.array(fps.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), cells], [id_col, "fp"])
 
+    small_batches(docs.sparkSession)
     wanted = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return wanted.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp array<bigint>")
 

@@ -1,4 +1,4 @@
-"""Where intermediate tables go: the shared folder that the cluster names."""
+"""Where intermediate tables go (the shared folder that the cluster names), and how much text a task holds."""
 
 from __future__ import annotations
 
@@ -7,6 +7,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's own bound of a batch that goes to Python, and the one that stages on whole texts use in its place.
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+SPARK_BATCH, TEXT_BATCH = "67108864b", "4194304b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold fewer bytes of text a batch in the JVM and in Python, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_KEY) == SPARK_BATCH:
+        spark.conf.set(BATCH_KEY, TEXT_BATCH)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder in spark.checkpoint.dir; only where it is unset (tests, a laptop) make one."""
     context = spark.sparkContext
