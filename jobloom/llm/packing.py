@@ -28,15 +28,17 @@ class WordEncoder:
 
     The tokenizer lower-cases, drops white space and never joins what stands on its two sides, so the ids of a text are
     those of its words in turn; a letter and the comma or stop after it are apart as well. Texts with signs on which
-    the two notions of white space or of lower case differ are encoded as they are. The memory is emptied at `most`
-    words, which only costs time.
+    the two notions of white space or of lower case differ are encoded as they are. The memory has two generations of
+    about `most` words; what is met again moves to the newer one, and the older one goes when that is full, which only
+    costs time.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 100_000):
         self.tokenizer = loaded(path)
         self.model = self.tokenizer.model
         self.most = most
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, ids: list[int]) -> bytes:
         return array("I", ids).tobytes()
@@ -45,6 +47,10 @@ class WordEncoder:
         found = self.known.get(word)
         if found is not None:
             return found
+        found = self.older.pop(word, None)
+        if found is not None:
+            self.known[word] = found
+            return found
         if plain(word):
             found = self._ids([t.id for t in self.model.tokenize(signs(word))])
         elif word[-1] in ",." and plain(word[:-1]):
@@ -59,7 +65,7 @@ class WordEncoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         words = text.lower().split()
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         for word in set(words):
             if word not in self.known:
                 self._word(word)
