@@ -283,3 +283,14 @@ def test_discriminant_equals_plain_density(spark):
         prior = np.log([0.4, 0.6][c])
         logs.append(prior - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
     assert model.score(x) == pytest.approx(1 / (1 + np.exp(logs[0] - logs[1])), abs=1e-9)
+
+
+def test_word_memory_of_any_size_gives_the_tokenizers_ids():
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    small = packing.WordEncoder(path, most=3)
+    texts = ["one two three four five, six.", "", "one two seven", "Éa one, 12x!", "two two five, nine ten eleven twelve", "one"]
+    for text in texts * 3:
+        assert small(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(small.known) <= 3 + 16
