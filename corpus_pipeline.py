@@ -12,12 +12,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import mixing, packing, quality, secret_scan, simhash
+from jobloom.llm import mixing, packing, quality, secret_scan, shingle_join
 from jobloom.llm.queries import tokenizer_path
-from jobloom.llm.storage import shared_folder
+from jobloom.llm.storage import cut, shared_folder
 
 #: So many ids are sent to every task; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
+#: The number of a row within the near-duplicate stage.
+ROW = "near_dedup_row"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +31,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group; of rows that repeat an id, one.
 
-    Fingerprints have 256 bits of five-word shingles; 48 differing bits stand for a similarity of about 0.75, so that
-    pairs from 0.8 are linked although the estimate varies.
+    Documents are linked whose sets of five-word shingles have a similarity of 0.8 or more; what links reach is a group.
     """
-    groups = simhash.near_groups(docs, width=5, parts=4, radius=48)
+    numbered = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    placed = shingle_join.similar_groups(numbered, ROW, width=5, least="0.8")
+    rows = numbered.select(ROW, "doc_id").join(placed, ROW)
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = cut(rows.join(least, "component").select("doc_id", "component_id"))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     dropped = groups.where(~stays).select(F.col("doc_id").alias("dropped")).distinct()
     if dropped.count() <= BROADCAST_IDS:

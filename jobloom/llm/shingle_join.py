@@ -1,0 +1,225 @@
+"""Groups of texts by the exact similarity of their word shingles: a prefix-filtered set join, verified."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from jobloom.llm.components import connected_components
+from jobloom.llm.storage import cut, small_batches
+from jobloom.llm.tiling import tiles, whole_tiles
+
+SEED = 42
+#: Texts whose shingles are counted to order the frequent ones last; any order gives the same groups.
+SAMPLE = 5_000
+#: A shingle in so many sampled texts is frequent; so many frequent shingles at most come to the driver.
+FREQUENT, MOST_FREQUENT = 10, 20_000
+#: Words of 64 bits in a parity sketch.
+SKETCH = 8
+#: So many rows are sent to every task; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The different hashes of a text's word shingles, sorted; a text of fewer words is one shingle, without words none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - width + 1)
+    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[:n].tolist(), last.tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=n))
+
+
+def prefix(hashes: np.ndarray, least: Fraction, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles, rare before frequent, of which two sets of that similarity share one at least."""
+    if not len(hashes):
+        return hashes
+    size = len(hashes) - -(-least.numerator * len(hashes) // least.denominator) + 1
+    rank = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        by = np.argsort(frequent)
+        at = np.minimum(np.searchsorted(frequent, hashes, sorter=by), len(frequent) - 1)
+        rank = np.where(frequent[by[at]] == hashes, len(frequent) - by[at], 0)
+    return hashes[np.lexsort((hashes, rank))[:size]]
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the hashes' buckets: two sets differ in no fewer members than their sketches do in bits."""
+    odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _lists(cells: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, cells)]).astype(np.int32)
+    flat = np.concatenate(cells) if cells else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))
+
+
+def _flat(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), width).view(np.int64))], ["s"])
+
+    return run
+
+
+def frequent_shingles(texts: DataFrame, row_col: str, text_col: str, width: int) -> np.ndarray:
+    """Hashes of shingles that many texts of a sample hold, the most frequent first."""
+    step = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64(row_col), F.lit(step)) == 0).select(text_col)
+    counts = some.mapInArrow(_flat(width), "s bigint").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    top = counts.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).collect()
+    return np.array([r.s for r in top], np.int64).view(np.uint64)
+
+
+def _described(width: int, least: Fraction, frequent: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), width) for t in batch.column(1)]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            cells = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64())]
+            cells += [_lists([sketch(s) for s in sets]), _lists([prefix(s, least, frequent) for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["row", "node", "size", "sketch", "keys"])
+
+    return run
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each further member of a key's rows, which come sorted, with the first one."""
+    key = root = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edge = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
+        group = np.cumsum(edge) - edge[0]
+        firsts = node[edge] if edge[0] else np.concatenate(([root], node[edge]))
+        roots = firsts[group]
+        key, root = k[-1], roots[-1]
+        more = ~edge
+        yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (k, node, roots)], ["k", "u", "v"])
+
+
+def _meet(least: Fraction):
+    """Pairs of different components in a tile that size and sketch allow."""
+    p, q = least.numerator, least.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tiles(batches, ["k"]):
+            by = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("k", "tile_a", "tile_b")])
+            node, comp, size = (table.column(c).to_numpy() for c in ("node", "comp", "size"))
+            bits = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            edges = [0, *(np.flatnonzero((by[:, 1:] != by[:, :-1]).any(axis=0)) + 1).tolist(), len(node)]
+            us, vs = [], []
+            for a, b in zip(edges, edges[1:], strict=False):
+                n, c, s, w = node[a:b], comp[a:b], size[a:b], bits[a:b]
+                for at in range(0, b - a, 256):
+                    own = slice(at, at + 256)
+                    near = (n[own, None] > n) & (c[own, None] != c)
+                    near &= q * np.minimum(s[own, None], s) >= p * np.maximum(s[own, None], s)
+                    if not near.any():
+                        continue
+                    apart = np.zeros(near.shape, np.int64)
+                    for j in range(w.shape[1]):
+                        apart += np.bitwise_count(w[own, None, j] ^ w[None, :, j])
+                    near &= apart * (p + q) <= (q - p) * (s[own, None] + s)
+                    i, j = np.nonzero(near)
+                    us.append(n[own][i])
+                    vs.append(n[j])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], ["u", "v"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = _lists([shingles(t.as_py(), width) for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), cells], ["node", "shingles"])
+
+    return run
+
+
+def _on_end(df: DataFrame, end: str) -> DataFrame:
+    """df with its node renamed to that end of a pair, its other columns too."""
+    return df.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "node"))
+
+
+def _fits(least: Fraction) -> Column:
+    """Whether size and sketch allow a pair the similarity."""
+    p, q = least.numerator, least.denominator
+    apart = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, b: n + b)
+    long = q * F.least("size_u", "size_v") >= p * F.greatest("size_u", "size_v")
+    return long & (apart * (p + q) <= (q - p) * (F.col("size_u") + F.col("size_v")))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:
+    """The pairs (u, v) whose whole shingle sets have the similarity."""
+    facts = classes.select("node", "size", "sketch")
+    sized = pairs.distinct().join(_on_end(facts, "u"), "u").join(_on_end(facts, "v"), "v").where(_fits(least))
+    sized = cut(sized.select("u", "v", "size_u", "size_v"))
+    ends = sized.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = cut(classes.join(ends, "node", "left_semi").select("row", "node"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = cut(texts.join(wanted, "row").select("node", "text").mapInArrow(_sets(width), "node bigint, shingles array<bigint>"))
+    shared = F.size(F.array_intersect("shingles_u", "shingles_v"))
+    both = sized.join(_on_end(sets, "u"), "u").join(_on_end(sets, "v"), "v")
+    p, q = least.numerator, least.denominator
+    return both.where(shared * (p + q) >= p * (F.col("size_u") + F.col("size_v"))).select("u", "v")
+
+
+def similar_groups(
+    docs: DataFrame, row_col: str, text_col: str = "text", width: int = 5, least: str = "0.8", chunk: int = 1024
+) -> DataFrame:
+    """(row_col, component) for every row of docs, whose bigint row_col must be unique and stay the same when reread.
+
+    Texts are linked whose sets of word shingles (ASCII letters lowered, words split at ASCII blanks) have a Jaccard
+    similarity of at least `least`; a component is what links reach. No pair is missed and none is linked by an
+    estimate, but for equal 64-bit hashes of different shingles: of two such sets the prefixes share a shingle, every
+    pair that shares one is met, and what is not ruled out by size or sketch is decided on the whole sets.
+
+    First each key's members are compared with its first one. Only keys whose members then stand in more than one
+    component meet pair by pair, in tiles. Texts without a word are one component. An empty table gives no rows.
+    """
+    share = Fraction(least)
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    frequent = frequent_shingles(texts, "row", "text", width)
+    described = cut(
+        texts.mapInArrow(
+            _described(width, share, frequent),
+            "row bigint, node bigint, size bigint, sketch array<bigint>, keys array<bigint>",
+        )
+    )
+    kept = described.groupBy("node").agg(F.min("row").alias("row")).select("row")
+    classes = described.join(kept, "row", "left_semi")
+    keyed = classes.select(F.explode("keys").alias("k"), "node").repartition("k").sortWithinPartitions("k", "node")
+    stars = cut(keyed.mapInArrow(_stars, "k bigint, u bigint, v bigint"))
+    links = cut(verified(stars.select("u", "v"), classes, texts, width, share))
+    first = connected_components(links, "u", "v")
+
+    members = stars.select("k", F.col("u").alias("node")).unionByName(stars.select("k", F.col("v").alias("node")).distinct())
+    placed = cut(members.join(first, "node", "left").select("k", "node", F.coalesce("component", "node").alias("comp")))
+    apart = placed.groupBy("k").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+    rows = placed.join(apart.where("n > 2 and a <> b").select("k"), "k", "left_semi")
+    rows = rows.join(classes.select("node", "size", "sketch"), "node").select("k", "node", "comp", "size", "sketch")
+    met = cut(tiles(rows, ["k"], "node", chunk).mapInArrow(_meet(share), "u bigint, v bigint").distinct())
+    if not met.isEmpty():
+        links = cut(links.unionByName(verified(met, classes, texts, width, share)))
+        first = connected_components(links, "u", "v")
+    named = described.select("row", "node").join(first, "node", "left")
+    return named.select(F.col("row").alias(row_col), F.coalesce("component", "node").alias("component"))

@@ -1,0 +1,73 @@
+"""Shingle-set groups, and the pipeline's near-duplicate stage, against brute force."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as P
+from jobloom.llm import shingle_join
+
+DOCS = "doc_id bigint, text string, source string"
+
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_groups(texts):
+    """The row numbers' groups of all pairs with a similarity of 0.8 or more."""
+    sets = [plain_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    return label
+
+
+def near_texts():
+    """Copies on both sides of 0.8, of long and short texts, and a line that all of one kind share."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(vocabulary, 14))
+    out = [None, "", " \t", "one", "ONE", "one two three"]
+    for length in (6, 9, 14, 40, 120, 300):
+        for _ in range(3):
+            words = rng.choice(vocabulary, length).tolist()
+            out += [" ".join(words), " ".join(words).upper(), " ".join(words) + " " + line]
+            for changes in (1, 2, length // 60, length // 45, length // 40, length // 35, length // 25):
+                other = list(words)
+                for at in rng.choice(length, changes, replace=False):
+                    other[at] = "changed"
+                out.append(" ".join(other))
+                out.append(" ".join([*words[: length - changes], *["more"] * changes]))
+                out.append(" ".join([*words, *[f"end{changes}"] * (changes + length // 6)]))
+    return out
+
+
+def parts(labels):
+    groups = {}
+    for i, x in enumerate(labels):
+        groups.setdefault(x, []).append(i)
+    return sorted(groups.values())
+
+
+@pytest.mark.parametrize(("chunk", "frequent"), [(1024, 10), (4, 2)])
+def test_groups_equal_brute_force(spark, monkeypatch, chunk, frequent):
+    monkeypatch.setattr(shingle_join, "FREQUENT", frequent)
+    texts = near_texts()
+    rows = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    got = {r.row: r.component for r in shingle_join.similar_groups(rows, "row", chunk=chunk).collect()}
+    assert parts([got[i] for i in range(len(texts))]) == parts(plain_groups(texts))
+
+
+def test_empty_table(spark):
+    assert shingle_join.similar_groups(spark.createDataFrame([], "row bigint, text string"), "row").count() == 0
+
+
+def test_stage_drops_near_copies_only(spark):
+    texts = near_texts()
+    got = P.one_of_each_group(spark, spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], DOCS), "")
+    assert sorted(r.doc_id for r in got.collect()) == [min(g) for g in parts(plain_groups(texts))]
