@@ -16,8 +16,8 @@ from jobloom.llm import mixing, packing, quality, secret_scan, shingle_join
 from jobloom.llm.queries import tokenizer_path
 from jobloom.llm.storage import cut, shared_folder
 
-#: So many ids are sent to every task; beyond, both sides are shuffled.
-BROADCAST_IDS = 1_000_000
+#: So many row numbers are sent to every task; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: The number of a row within the near-duplicate stage.
 ROW = "near_dedup_row"
 
@@ -29,22 +29,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group; of rows that repeat an id, one.
+    """One row of each near-duplicate group: that of the smallest id, null ids last; of equal ids, by the text's hash.
 
     Documents are linked whose sets of five-word shingles have a similarity of 0.8 or more; what links reach is a group.
+    Rows are chosen, not ids: other rows of a chosen or dropped id stand in their own groups.
     """
     numbered = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
     placed = shingle_join.similar_groups(numbered, ROW, width=5, least="0.8")
-    rows = numbered.select(ROW, "doc_id").join(placed, ROW)
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    groups = cut(rows.join(least, "component").select("doc_id", "component_id"))
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    dropped = groups.where(~stays).select(F.col("doc_id").alias("dropped")).distinct()
-    if dropped.count() <= BROADCAST_IDS:
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
+    rows = cut(numbered.select(ROW, order.alias("order")).join(placed, ROW).select(ROW, "order", "component"))
+    chosen = rows.groupBy("component").agg(F.min("order").alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
+    dropped = cut(rows.select(ROW).join(chosen, ROW, "left_anti"))
+    if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped"]), "left_anti")
-    repeated = groups.where(stays).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    return numbered.join(dropped, ROW, "left_anti").select(docs.columns)
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

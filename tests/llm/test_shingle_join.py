@@ -71,3 +71,13 @@ def test_stage_drops_near_copies_only(spark):
     texts = near_texts()
     got = P.one_of_each_group(spark, spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], DOCS), "")
     assert sorted(r.doc_id for r in got.collect()) == [min(g) for g in parts(plain_groups(texts))]
+
+
+def test_stage_keeps_one_row_of_each_group_whatever_its_id(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcdef")
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, c), (None, d), (None, d), (7, e), (7, e), (7, f), (None, None)]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in rows], DOCS)
+    got = P.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(3, a), (5, b), (None, c), (None, d), (7, e), (7, f), (None, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
