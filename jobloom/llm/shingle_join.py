@@ -20,7 +20,7 @@ SEED = 42
 SAMPLE = 5_000
 #: A shingle in so many sampled texts is frequent; so many frequent shingles at most come to the driver.
 FREQUENT, MOST_FREQUENT = 10, 20_000
-#: Words of 64 bits in a parity sketch.
+#: Words of 64 bits in the shortest parity sketch, a power of two.
 SKETCH = 8
 #: So many rows are sent to every task; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -55,11 +55,17 @@ def prefix(hashes: np.ndarray, least: Fraction, frequent: np.ndarray) -> np.ndar
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the hashes' buckets: two sets differ in no fewer members than their sketches do in bits."""
-    odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    """Parities of the hashes' buckets, two a hash or more: two sets differ in no fewer members than their sketches in bits."""
+    words = max(SKETCH, 1 << (max(1, len(hashes) // 32) - 1).bit_length())
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer words: parities of the buckets that fall together."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
 def _lists(cells: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, cells)]).astype(np.int32)
     flat = np.concatenate(cells) if cells else np.empty(0, np.int64)
@@ -120,7 +126,10 @@ def _meet(least: Fraction):
         for table in whole_tiles(batches, ["k"]):
             by = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("k", "tile_a", "tile_b")])
             node, comp, size = (table.column(c).to_numpy() for c in ("node", "comp", "size"))
-            bits = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            lists = table.column("sketch").combine_chunks()
+            flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            whole = [flat[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+            bits = np.stack([folded(x, SKETCH) for x in whole])
             edges = [0, *(np.flatnonzero((by[:, 1:] != by[:, :-1]).any(axis=0)) + 1).tolist(), len(node)]
             us, vs = [], []
             for a, b in zip(edges, edges[1:], strict=False):
@@ -136,6 +145,13 @@ def _meet(least: Fraction):
                         apart += np.bitwise_count(w[own, None, j] ^ w[None, :, j])
                     near &= apart * (p + q) <= (q - p) * (s[own, None] + s)
                     i, j = np.nonzero(near)
+                    fits = np.ones(len(i), bool)
+                    for x in np.flatnonzero((s[own][i] > 32 * SKETCH) | (s[j] > 32 * SKETCH)).tolist():
+                        one, two = whole[a + at + i[x]], whole[a + j[x]]
+                        words = min(len(one), len(two))
+                        far = int(np.bitwise_count(folded(one, words) ^ folded(two, words)).sum())
+                        fits[x] = far * (p + q) <= (q - p) * (s[at + i[x]] + s[j[x]])
+                    i, j = i[fits], j[fits]
                     us.append(n[own][i])
                     vs.append(n[j])
             if us:
@@ -161,9 +177,17 @@ def _on_end(df: DataFrame, end: str) -> DataFrame:
 def _fits(least: Fraction) -> Column:
     """Whether size and sketch allow a pair the similarity."""
     p, q = least.numerator, least.denominator
-    apart = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, b: n + b)
+    words = F.least(F.size("sketch_u"), F.size("sketch_v"))
+
+    def cut_to(name: str) -> Column:
+        # Sizes that fit differ by half at most, so the longer sketch is as long or twice as long.
+        halves = F.zip_with(F.slice(name, F.lit(1), words), F.slice(name, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > words, halves).otherwise(F.col(name))
+
+    far = F.zip_with(cut_to("sketch_u"), cut_to("sketch_v"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    far = F.aggregate(far, F.lit(0), lambda n, b: n + b)
     long = q * F.least("size_u", "size_v") >= p * F.greatest("size_u", "size_v")
-    return long & (apart * (p + q) <= (q - p) * (F.col("size_u") + F.col("size_v")))
+    return F.when(long, far * (p + q) <= (q - p) * (F.col("size_u") + F.col("size_v"))).otherwise(F.lit(False))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, least: Fraction) -> DataFrame:

@@ -33,8 +33,8 @@ def near_texts():
     vocabulary = [f"w{i}" for i in range(3000)]
     line = " ".join(rng.choice(vocabulary, 14))
     out = [None, "", " \t", "one", "ONE", "one two three"]
-    for length in (6, 9, 14, 40, 120, 300):
-        for _ in range(3):
+    for length in (6, 9, 14, 40, 120, 300, 1030, 2600):
+        for _ in range(3 if length < 1000 else 1):
             words = rng.choice(vocabulary, length).tolist()
             out += [" ".join(words), " ".join(words).upper(), " ".join(words) + " " + line]
             for changes in (1, 2, length // 60, length // 45, length // 40, length // 35, length // 25):
