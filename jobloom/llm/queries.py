@@ -106,4 +106,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.scan_sql()}
+    return {"op3_license_scan": license_scan.scan_sql(), "op4_embedding_dedup": embedding_dedup.all_pairs_sql()}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from itertools import combinations, count
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,32 @@ from pyspark.sql import functions as F
 
 from jobloom.llm.bitslice import components, near_rows
 from jobloom.llm.components import connected_components
-from jobloom.llm.storage import cut, small_batches
+from jobloom.llm.hot_keys import attached
+from jobloom.llm.storage import cut
 from jobloom.llm.tiling import contracted, tiles, whole_tiles
 
 SEED = 42
 #: Lanes gathered before small tiles are compared together.
 LANES = 1 << 16
+#: Keys are made so long that unlike fingerprints come to so many a bucket, whatever the number of all.
+PER_BUCKET = 64
+
+Keys = Callable[[np.ndarray], np.ndarray]
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of a text's word shingles in their order; fewer words than width are one shingle, no word none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - width + 1)
+    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[:n].tolist(), last.tolist(), strict=True)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=n)
 
 
 def _spread(hashes: np.ndarray, part: int) -> np.ndarray:
@@ -31,55 +52,60 @@ def _spread(hashes: np.ndarray, part: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, width: int = 4, parts: int = 1) -> list[int]:
-    """The SimHash of a text's word shingles, in parts of 64 bits; zeros where there is no word."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return [0] * parts
-    n = max(1, len(words) - width + 1)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
+def signs(hashes: np.ndarray, parts: int = 1) -> np.ndarray:
+    """The fingerprint of hashes, in parts of 64 bits: a bit is set where more than half of them set it."""
     ones = np.zeros((parts, 64), dtype=np.int64)
-    for at in range(0, n, 65536):
-        stop = min(n, at + 65536)
-        last = ends[at + width - 1 : stop + width - 1] if len(words) >= width else ends[-1:]
-        spans = zip(starts[at:stop].tolist(), last.tolist(), strict=True)
-        hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=stop - at)
+    for at in range(0, len(hashes), 65536):
         for p in range(parts):
-            rows = _spread(hashes, p).view(np.uint8).reshape(-1, 8)
+            rows = _spread(hashes[at : at + 65536], p).view(np.uint8).reshape(-1, 8)
             ones[p] += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, parts: int = 1
-) -> DataFrame:
-    """(id_col, fp): the SimHash of each row's whole text, an array of signed 64-bit parts; zeros without words."""
+def lists(cells: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit values as one column."""
+    ends = np.cumsum([0, *map(len, cells)]).astype(np.int32)
+    flat = np.concatenate(cells) if cells else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """(id_col, fp): the 64-bit SimHash of each row's whole text, in an array of one; zero without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), width, parts) for t in batch.column(1)], dtype=np.uint64)
-            ends = np.arange(0, batch.num_rows * parts + 1, parts, dtype=np.int32)
-            cells = pa.ListArray.from_arrays(ends, pa.array(fps.ravel().view(np.int64)))
+            cells = lists([signs(shingle_hashes(t.as_py(), width)) for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), cells], [id_col, "fp"])
 
-    small_batches(docs.sparkSession)
     wanted = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return wanted.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp array<bigint>")
 
 
-def _block_keys(blocks: int, radius: int):
-    """Keys of 64-bit fingerprints by masks: any two within radius agree wholly under at least one of them."""
+def masked_keys(radius: int, classes: int) -> Keys:
+    """Keys of 64-bit fingerprints by masks: any two within radius agree wholly under at least one of them.
+
+    The bits are cut into blocks, and each mask leaves out radius of them. More classes take more blocks, so longer
+    keys; no pair is missed with any number of blocks.
+    """
+    blocks = radius + 1
+    while blocks < 64 and 64 * (blocks - radius) / blocks < log2(max(classes, 1) / PER_BUCKET + 1):
+        blocks += 1
     bounds = [64 * i // blocks for i in range(blocks + 1)]
     pieces = [(1 << b) - (1 << a) for a, b in zip(bounds, bounds[1:], strict=False)]
     masks = np.array([sum(some) for some in combinations(pieces, blocks - radius)], dtype=np.uint64)
     return lambda fps: fps[:, :1] & masks[None, :]
 
 
-def _sampled_keys(parts: int, tables: int, bits: int):
-    """Keys by bits drawn with a fixed seed: two fingerprints at a share d of differing bits agree with (1 - d)^bits."""
+def drawn_keys(parts: int, share: float, recall: float, classes: int) -> Keys:
+    """Keys by bits drawn with a fixed seed, one in each of several tables.
+
+    The bits grow with the logarithm of the classes, and the tables with them, so that one table at least joins two
+    fingerprints whose bits differ with the given chance: over what their number of differing bits may be.
+    """
+    whole, bits = 64 * parts, min(60, max(8, ceil(log2(max(classes, 1) / (8 * PER_BUCKET)))))
+    chance = np.array([comb(whole, k) * share**k * (1 - share) ** (whole - k) for k in range(whole + 1)])
+    alike = np.array([comb(whole - k, bits) / comb(whole, bits) for k in range(whole + 1)])
+    tables = next(n for n in count(1) if chance @ (1 - (1 - alike) ** n) >= recall)
     drawn = np.random.default_rng(17).permuted(np.tile(np.arange(64 * parts), (tables, 1)), axis=1)[:, :bits]
 
     def keys(fps: np.ndarray) -> np.ndarray:
@@ -92,7 +118,7 @@ def _sampled_keys(parts: int, tables: int, bits: int):
     return keys
 
 
-def _keyed(keys):
+def _keyed(keys: Keys):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -101,11 +127,18 @@ def _keyed(keys):
             found = keys(fps).view(np.int64)
             ends = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
             cells = pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, cells], ["node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "keys"])
 
     return run
 
 
+def with_keys(classes: DataFrame, keys: Keys) -> DataFrame:
+    """Rows of classes, which have a column fp, once for each table t, with their key k in it."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
+    keyed = classes.mapInArrow(_keyed(keys), f"{kinds}, keys array<bigint>")
+    return keyed.select(*classes.columns, F.posexplode("keys").alias("t", "k"))
+
+
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -141,17 +174,15 @@ def _compare(radius: int):
     return run
 
 
-def links(classes: DataFrame, parts: int, radius: int, blocks: int, tables: int, bits: int, chunk: int) -> DataFrame:
-    """(u, v) links that span the components of the pairs of (node, fp) found within radius bits.
+def links(classes: DataFrame, keys: Keys, radius: int, chunk: int) -> DataFrame:
+    """(u, v) links, u above v, that span the components of the pairs of (node, fp) with a common key within radius bits.
 
-    With one part, such a pair agrees in blocks - radius of the blocks, so it shares one of the masked keys and no
-    pair is missed. With more parts, candidates share the drawn bits of one of the tables. A tile returns a spanning
-    star of each group it finds, from its smallest node, not all its pairs.
+    A tile returns a spanning star of each group it finds, from its smallest node, not all its pairs; of a node's
+    stars only its smallest centre is kept, and the others are linked to that.
     """
-    keys = _block_keys(blocks, radius) if parts == 1 else _sampled_keys(parts, tables, bits)
-    keyed = classes.select("node", "fp").mapInArrow(_keyed(keys), "node bigint, fp array<bigint>, keys array<bigint>")
-    rows = keyed.select("node", "fp", F.posexplode("keys").alias("t", "k"))
-    return tiles(rows, ["t", "k"], "node", chunk).mapInArrow(_compare(radius), "u bigint, v bigint")
+    rows = with_keys(classes.select("node", "fp"), keys)
+    stars = tiles(rows, ["t", "k"], "node", chunk).mapInArrow(_compare(radius), "u bigint, v bigint")
+    return contracted(stars, "u", "v")
 
 
 def near_groups(
@@ -160,30 +191,25 @@ def near_groups(
     text_col: str = "text",
     width: int = 4,
     radius: int = 4,
-    parts: int = 1,
-    blocks: int = 6,
-    tables: int = 32,
-    bits: int = 14,
     chunk: int = 1024,
 ) -> DataFrame:
-    """(id_col, fp, component_id) for every row of docs.
+    """(id_col, fp, component_id) for every row of docs; fp is an array of one.
 
-    Fingerprints within radius bits are linked; component_id is the smallest id reachable by links, the row's own
-    included. One part of 64 bits is for small radii: every pair within radius is found (blocks must exceed radius).
-    More parts are for wide radii, where candidates come from tables of drawn bits: with 256 bits, 32 tables of 14 bits
-    find a pair at a share of 0.15 differing bits (a word-shingle similarity of 0.8) with probability 0.97.
+    64-bit fingerprints within radius bits are linked, and no such pair is missed; component_id is the smallest id
+    reachable by links, the row's own included. Texts with equal fingerprints are compared once, as a class.
 
     Rows of equal texts have equal fingerprints and so one component; null and empty texts have fingerprint 0 and form
     (with whatever lies near 0) one component. Repeated rows are kept, each with the same result. A null id is
     returned as it is and never chosen as component_id unless no row of the component has an id. An empty table gives
     no rows. Other columns of docs are not read.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, width, parts))
-    node = F.col("fp")[0] if parts == 1 else F.xxhash64("fp")
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least_id")).withColumn("node", node)
-    found = links(classes, parts, radius, blocks, tables, bits, chunk)
-    grouped = connected_components(contracted(found, "u", "v"), "u", "v")
-    rooted = classes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = rooted.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    whole = cut(rooted.join(named, "component").select("fp", "component_id"))
-    return prints.join(whole, "fp").select(id_col, "fp", "component_id")
+    prints = cut(fingerprints(docs, id_col, text_col, width))
+    facts = prints.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("copies"))
+    classes = cut(facts.withColumn("node", F.col("fp")[0]))
+    grouped = connected_components(links(classes, masked_keys(radius, classes.count()), radius, chunk), "u", "v")
+    members = grouped.join(classes.select("node", "least_id"), "node")
+    named = cut(members.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")))
+    placed = attached(grouped, named, "component", "n").select("node", "component_id")
+    whole = classes.join(placed, "node", "left")
+    whole = cut(whole.select("fp", F.coalesce("component_id", "least_id").alias("component_id"), "copies"))
+    return attached(prints, whole, "fp", "copies").select(id_col, "fp", "component_id")

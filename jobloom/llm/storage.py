@@ -1,30 +1,21 @@
-"""Where intermediate tables go (the shared folder that the cluster names), and how much text a task holds."""
+"""Where intermediate tables go: the shared folder that the cluster names."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Spark's own bound of a batch that goes to Python, and the one that stages on whole texts use in its place.
-BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
-SPARK_BATCH, TEXT_BATCH = "67108864b", "4194304b"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Hold fewer bytes of text a batch in the JVM and in Python, unless the session has a bound of its own."""
-    if spark.conf.get(BATCH_KEY) == SPARK_BATCH:
-        spark.conf.set(BATCH_KEY, TEXT_BATCH)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; only where it is unset (tests, a laptop) make one."""
+    """Use the folder in spark.checkpoint.dir; on one machine, where it is unset, one beside the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jobloom-checkpoint-"))
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there, so that a lost executor costs one stage only."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As cut, for rows with texts: a Parquet table, compressed, of which later reads take the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table that is no longer needed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,10 +1,10 @@
-"""Shingle-set groups, and the pipeline's near-duplicate stage, against brute force."""
+"""Groups of near copies, and the pipeline's near-duplicate stage, against brute force."""
 
 import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from jobloom.llm import shingle_join
+from jobloom.llm import near_copies
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -54,17 +54,17 @@ def parts(labels):
     return sorted(groups.values())
 
 
-@pytest.mark.parametrize(("chunk", "frequent"), [(1024, 10), (4, 2)])
-def test_groups_equal_brute_force(spark, monkeypatch, chunk, frequent):
-    monkeypatch.setattr(shingle_join, "FREQUENT", frequent)
+@pytest.mark.parametrize(("chunk", "rounds"), [(1024, 4), (4, 1), (64, 0)])
+def test_groups_equal_brute_force(spark, monkeypatch, chunk, rounds):
+    monkeypatch.setattr(near_copies, "NEAREST_ROUNDS", rounds)
     texts = near_texts()
     rows = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
-    got = {r.row: r.component for r in shingle_join.similar_groups(rows, "row", chunk=chunk).collect()}
+    got = {r.row: r.component for r in near_copies.similar_groups(rows, "row", recall=0.9999, chunk=chunk).collect()}
     assert parts([got[i] for i in range(len(texts))]) == parts(plain_groups(texts))
 
 
 def test_empty_table(spark):
-    assert shingle_join.similar_groups(spark.createDataFrame([], "row bigint, text string"), "row").count() == 0
+    assert near_copies.similar_groups(spark.createDataFrame([], "row bigint, text string"), "row").count() == 0
 
 
 def test_stage_drops_near_copies_only(spark):

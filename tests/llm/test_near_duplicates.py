@@ -5,8 +5,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from jobloom.llm import bitslice, embedding_dedup, simhash
+from jobloom.llm import bitslice, embedding_dedup, hot_keys, queries, simhash
 from jobloom.llm.components import connected_components
+from tests.same_rows import compare, connect
 
 DOCS = "doc_id bigint, text string, fp string, component_id int, lang string"
 
@@ -46,7 +47,7 @@ def texts():
 
 def test_fingerprints_are_exact():
     for t in texts():
-        assert simhash.fingerprint(t, 4) == [plain_fingerprint(t, 4)]
+        assert simhash.signs(simhash.shingle_hashes(t, 4)).tolist() == [plain_fingerprint(t, 4)]
 
 
 @pytest.mark.parametrize("chunk", [4, 1024])
@@ -65,14 +66,32 @@ def test_groups_equal_brute_force(spark, chunk):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in got) == want
 
 
-def test_wide_fingerprints_join_near_copies(spark):
-    rng = np.random.default_rng(5)
-    base = " ".join(rng.choice([f"v{i}" for i in range(900)], 300))
-    words = base.split(" ")
-    words[50] = words[200] = "other"
-    rows = [(1, base, "", 0, ""), (2, " ".join(words), "", 0, ""), (3, " ".join(rng.permutation(words)), "", 0, "")]
-    got = simhash.near_groups(spark.createDataFrame(rows, DOCS), width=5, parts=4, radius=48)
-    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+@pytest.mark.parametrize("classes", [1, 10**6, 10**9, 10**12])
+def test_masked_keys_miss_no_pair(classes):
+    rng = np.random.default_rng(8)
+    keys = simhash.masked_keys(4, classes)
+    one = rng.integers(0, 1 << 63, (500, 1)).astype(np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(500)], np.uint64)
+    assert (keys(one) == keys(one ^ flips[:, None])).any(axis=1).all()
+
+
+def test_drawn_keys_grow_and_keep_recall():
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 1 << 63, (3000, 4)).astype(np.uint64)
+    flips = np.packbits(rng.random((3000, 256)) < 0.15, axis=1).view(np.uint64)
+    for classes in (10**4, 10**6, 10**8):
+        keys = simhash.drawn_keys(4, 0.15, 0.98, classes)
+        assert abs((keys(one) == keys(one ^ flips)).any(axis=1).mean() - 0.98) < 0.015
+        assert np.bincount(np.unique(keys(one)[:, 0], return_inverse=True)[1]).max() < 60
+
+
+def test_hot_keys_are_sent_to_every_task(spark, monkeypatch):
+    monkeypatch.setattr(hot_keys, "HOT_ROWS", 3)
+    monkeypatch.setattr(hot_keys, "HOT_KEYS", 2)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 30), (3, 2), (4, 1)) for i in range(n)], "k bigint, i int")
+    facts = spark.createDataFrame([(1, "a", 50), (2, "b", 30), (3, "c", 2)], "k bigint, fact string, n bigint")
+    got = hot_keys.attached(rows, facts, "k", "n").groupBy("k", "fact").count().collect()
+    assert {tuple(r) for r in got} == {(1, "a", 50), (2, "b", 30), (3, "c", 2), (4, None, 1)}
 
 
 def test_empty_table(spark):
@@ -130,3 +149,23 @@ def test_no_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
     nulls = spark.createDataFrame([(1, None, 0, ""), (None, None, 0, "")], VECTORS)
     assert embedding_dedup.near_vectors(nulls).where(F.col("kept")).count() == 2
+
+
+def test_repeated_ids_of_unlike_vectors(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a, 0, ""), (5, b, 0, ""), (7, [1.0, 0.1, 0.0], 0, ""), (8, [0.1, 1.0, 0.0], 0, ""), (9, [0.0, 1.0, 0.1], 0, "")]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (5, 1, 5, True), (5, 2, 5, True), (7, 1, 5, False), (8, 2, 5, False), (9, 2, 5, False),
+    ]
+
+
+def test_string_ids(spark):
+    rows = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.1]), ("c", [0.0, 1.0])], "vec_id string, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(rows).collect()}
+    assert got == {"a": (1, "a"), "b": (1, "a"), "c": (0, "c")}
+
+
+def test_vectors_equal_all_pairs_in_sql(spark):
+    found = "/root/testdata/sf0.01"
+    compare(queries.op4_embedding_dedup(spark, found), connect(found), embedding_dedup.all_pairs_sql())
