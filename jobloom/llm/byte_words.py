@@ -13,10 +13,13 @@ SIGNS = [chr(b) if b in set(_PRINTED) else _SHIFTED[b] for b in range(256)]
 
 
 def loaded(path: str) -> Tokenizer:
-    """The tokenizer, with the strings of its special tokens as ordinary text."""
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    """The tokenizer with its own settings."""
+    return Tokenizer.from_file(path)
+
+
+def added_strings(tokenizer: Tokenizer) -> tuple[str, ...]:
+    """The strings, in lower case, that the tokenizer finds in a text before it cuts words."""
+    return tuple(sorted({t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()}))
 
 
 def plain(word: str) -> bool:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.storage import cut, small_batches
+from jobloom.llm.storage import cut
 
 UPPER = string.ascii_uppercase.encode()
 DIGITS = string.digits.encode()
@@ -57,7 +57,7 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def _featured(id_col: str, kind: pa.DataType | None = None):
+def _featured(id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [statistics(t.as_py()) for t in batch.column(1)]
@@ -68,7 +68,6 @@ def _featured(id_col: str, kind: pa.DataType | None = None):
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, x): the statistics of each row's whole text."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return wanted.mapInArrow(_featured(id_col), f"`{id_col}` {kind}, x array<double>")
@@ -162,6 +161,24 @@ def train(
     return fit(x.join(seen, id_col).select("x", "y")), x
 
 
+def train_on_some(
+    docs: DataFrame,
+    labels: DataFrame,
+    most: int = 100_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+) -> Discriminant | Constant:
+    """Fit on the labelled rows of `most` ids at most, those first by a hash of the id; no id that is held out is seen.
+
+    The ids are sent to every task, so only labelled texts are measured and no text is shuffled.
+    """
+    known = labels.select(F.col(id_col), F.col(label_col).alias("y")).where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1))
+    some = known.orderBy(F.xxhash64(id_col), id_col, "y").limit(most).withColumnRenamed(id_col, "labelled_id")
+    found = docs.join(F.broadcast(some), F.col(id_col) == F.col("labelled_id")).select("y", F.col(text_col).cast("string"))
+    return fit(found.mapInArrow(_featured("y"), f"y {known.schema['y'].dataType.simpleString()}, x array<double>"))
+
+
 def score(x: DataFrame, model: Discriminant | Constant, id_col: str = "doc_id") -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of features.
 
@@ -194,5 +211,4 @@ def keep_good(docs: DataFrame, model: Discriminant | Constant, text_col: str = "
                 x = np.array([statistics(t.as_py()) for t in batch.column(text_col)])
                 yield batch.filter(pa.array(model.score(x) >= least))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,6 @@ def test_packing_round_trip(spark, real):
     texts = ODD + ["again"] * 3 + [r.text for r in real.select("text").limit(60).collect()]
     path = queries.tokenizer_path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     pieces = packing.pack(docs(spark, texts).repartition(3), path).collect()
     ids = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in texts]
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -56,18 +55,68 @@ def test_packing_round_trip(spark, real):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+def odd_texts(count, seed):
+    """Texts of signs on which tokenizers' steps differ: accents apart and composed, special strings, odd spaces, scripts."""
+    rng = np.random.default_rng(seed)
+    signs = [*"abcXYZ019 ,.'!-\n\t", "\u0301", "\u0345", "\u0389", "\u00c9", "e\u0301", "\u0130", "\u03a3", "\u03c3", "\u212a", "\u1e9e",
+             "\u00df", "\ufb01", "\u0958", "\uac00", "\u1100\u1161", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "\u200b", "\u200d", "\ufeff", "\U0001f642",
+             "\U0001f1e9", "\u65e5", "\u05d0", "\u0627", "\u0939\u093f", "\ua64a", "\u0410", "\u0527", "\u0531", "\x00", "\u00ad", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'LL"]
+    return ["".join(rng.choice(signs, rng.integers(0, 14))) for _ in range(count)]
+
+
+def test_word_encoder_equals_the_tokenizer():
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.WordEncoder(path, most=500)
+    for text in odd_texts(10_000, 3):
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def piece(n, key="d"):
+    return (key, 0, np.zeros(n, np.uint32), n)
+
+
 def test_sum_of_squares_choice():
     w = packing.Windows(10, 0)
-    piece = lambda n: ("d", 0, np.zeros(n, np.uint32), n)
-    assert w.place(piece(6)) is None
-    number, pieces = w.place(piece(4))
+    assert w.place(piece(6)) == []
+    [(number, pieces)] = w.place(piece(4))
     assert (number, [len(p[2]) for p in pieces], w.counts.sum()) == (0, [6, 4], 0)
-    assert w.place(piece(10))[0] == 1
+    assert w.place(piece(10))[0][0] == 1
     w.place(piece(3))
     w.place(piece(3))  # one window of level 6 is better than two of level 3
     assert [int(x) for x in np.flatnonzero(w.counts)] == [6]
 
 
+def test_every_placing_has_the_least_sum_of_squares():
+    rng = np.random.default_rng(2)
+    w = packing.Windows(12, 0)
+    for size in rng.integers(1, 12, 400).tolist():
+        before = w.counts.copy()
+        sums = []
+        for level in range(13 - size):
+            if level and not before[level]:
+                continue
+            after = before.copy()
+            after[level] -= level > 0
+            after[level + size] += level + size < 12
+            sums.append(int((after**2).sum()))
+        w.place(piece(size))
+        assert int((w.counts**2).sum()) == min(sums)
+
+
+def test_windows_that_nothing_fits_are_filled_by_cuts():
+    w = packing.Windows(2048, 0, most=16)
+    done, most = [], 0
+    for i in range(1000):
+        done += w.place(piece(1500, i))
+        most = max(most, int(w.counts.sum()))
+        assert sum(sum(len(p[2]) for p in x) for level in w.open.values() for x in level) == int(w.counts @ np.arange(2049))
+    done += w.finish()
+    assert most <= 16
+    assert Counter(p[0] for _, x in done for p in x if p[1] == 0) == Counter(range(1000))
+    sizes = [sum(len(p[2]) for p in x) for _, x in done]
+    assert sum(sizes) == 1_500_000 and all(n & (n - 1) == 0 for n in sizes) and len({n for n, _ in done}) == len(done)
+
+
 def test_license_scan_equals_sql(spark):
     con = connect(DIR)
     got = queries.op3_license_scan(spark, DIR)
@@ -227,7 +276,6 @@ def test_token_counts_round_trip(spark, real):
     texts = ODD + [r.text for r in real.select("text").limit(40).collect()]
     path = queries.tokenizer_path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     by = defaultdict(list)
     for r in token_counts.count_tokens(docs(spark, texts), path).collect():
         by[r.doc_id].append(r)
