@@ -12,20 +12,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import mixing, packing, quality, secret_scan, shingle_join
+from jobloom.llm import mixing, near_copies, packing, quality, secret_scan
 from jobloom.llm.queries import tokenizer_path
-from jobloom.llm.storage import cut, shared_folder
+from jobloom.llm.storage import cut, discard, shared_folder, written
+from jobloom.session import prepare
 
 #: So many row numbers are sent to every task; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 #: The number of a row within the near-duplicate stage.
 ROW = "near_dedup_row"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on these documents' labels, scores 0.5 or more."""
-    model, _ = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep_good(docs, model)
+    """Documents that the classifier, trained on 100,000 of these documents' labels at most, scores 0.5 or more."""
+    prepare(spark)
+    return quality.keep_good(docs, quality.train_on_some(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Documents are linked whose sets of five-word shingles have a similarity of 0.8 or more; what links reach is a group.
     Rows are chosen, not ids: other rows of a chosen or dropped id stand in their own groups.
     """
-    numbered = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    placed = shingle_join.similar_groups(numbered, ROW, width=5, least="0.8")
+    prepare(spark)
+    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    placed = near_copies.similar_groups(numbered, ROW, width=5, least="0.8")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
     rows = cut(numbered.select(ROW, order.alias("order")).join(placed, ROW).select(ROW, "order", "component"))
     chosen = rows.groupBy("component").agg(F.min("order").alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
@@ -47,11 +49,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their texts replaced by a mark; n_chars follows the text."""
+    prepare(spark)
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document."""
+    prepare(spark)
     taken = mixing.mix(docs, F.array(F.col("source").cast("string")), whole_documents=True)
     times = F.when(F.col("mix_size") > 0, F.col("mix_taken") / F.col("mix_size")).otherwise(0).cast("int")
     copies = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))
@@ -60,6 +64,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences."""
+    prepare(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
@@ -76,10 +81,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared folder and reread."""
+    """Apply the stages to documents; each result is written to the shared folder and reread, and removed after the next."""
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard(spark, f"{folder}/{before}")
+        before = name
     return docs

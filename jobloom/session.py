@@ -19,6 +19,19 @@ def session(app: str = "jobloom", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=settings).getOrCreate()
 
 
+#: Bytes of a batch that goes to Python, where the application names none: texts of a task stay few.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4194304b"
+
+
+def prepare(spark: SparkSession) -> None:
+    """What an application does once with its session: batches to Python of 4 MB, unless it was built with a size of its own, and the package sent to the workers."""
+    if not getattr(spark, "jobloom_prepared", False):
+        if spark.sparkContext.getConf().get(BATCH_KEY) is None:
+            spark.conf.set(BATCH_KEY, BATCH)
+        spark.jobloom_prepared = True
+    ship(spark)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, once a session, so that they need no path of the driver's."""
     context = spark.sparkContext
