@@ -25,7 +25,7 @@ DEALT = 32
 #: So many wanted rows are sent to every task; beyond, they and the texts are shuffled.
 BROADCAST_ROWS = 200_000
 #: Rounds in which each text meets its nearest partner; after them, what is undecided meets all its partners.
-NEAREST_ROUNDS = 4
+NEAREST_ROUNDS = 2
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +26,32 @@ def shared_folder(spark: SparkSession) -> str:
     return str(spark.sparkContext.getCheckpointDir())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from there, so that a lost executor costs one stage only."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Tables written inside the open scratch blocks, innermost last.
+_OPEN: list[list[str]] = []
+
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to a table in the checkpoint folder and go on from there, so that a lost executor costs one stage only.
 
-def written(df: DataFrame) -> DataFrame:
-    """As cut, for rows with texts: a Parquet table, compressed, of which later reads take the columns they need."""
+    A table and not a checkpoint: it is compressed, later reads take the columns they need, and what the optimizer has
+    inferred about rows does not pile up over rounds.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that operators write inside the block when it ends; their results must be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            discard(spark, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

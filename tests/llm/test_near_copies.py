@@ -54,7 +54,7 @@ def parts(labels):
     return sorted(groups.values())
 
 
-@pytest.mark.parametrize(("chunk", "rounds"), [(1024, 4), (4, 1), (64, 0)])
+@pytest.mark.parametrize(("chunk", "rounds"), [(1024, 2), (4, 1), (64, 0)])
 def test_groups_equal_brute_force(spark, monkeypatch, chunk, rounds):
     monkeypatch.setattr(near_copies, "NEAREST_ROUNDS", rounds)
     texts = near_texts()
