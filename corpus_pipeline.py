@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from jobloom.llm import mixing, near_copies, packing, quality, secret_scan
 from jobloom.llm.queries import tokenizer_path
-from jobloom.llm.storage import cut, discard, shared_folder, written
+from jobloom.llm.storage import cut, discard, scratch, shared_folder
 from jobloom.session import prepare
 
 #: So many row numbers are sent to every task; beyond, both sides are shuffled.
@@ -36,7 +36,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are chosen, not ids: other rows of a chosen or dropped id stand in their own groups.
     """
     prepare(spark)
-    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    numbered = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
     placed = near_copies.similar_groups(numbered, ROW, width=5, least="0.8")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
     rows = cut(numbered.select(ROW, order.alias("order")).join(placed, ROW).select(ROW, "order", "component"))
@@ -86,7 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
             discard(spark, f"{folder}/{before}")
