@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,16 +20,20 @@ BLOCK_TAGS = frozenset(
     "option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style noscript template svg math iframe object canvas head title select textarea".split())
+SILENT_TAGS = frozenset("script style noscript template svg iframe object canvas title select textarea".split())
+#: Elements that may stand in a page's head, and those that may stand in a select.
+HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
+SELECT_TAGS = frozenset("hr optgroup option script template".split())
 #: Words of class, id and role attributes that say what an element is for.
 HINTS = frozenset(
     "ad ads advert advertisement article banner body breadcrumb comment comments consent content cookie copyright entry "
     "footer form header legal login main masthead menu meta modal nav navigation newsletter notice pager popup post promo "
     "related reply share sidebar social sponsor sponsored story subscribe text toolbar widget".split()
 )
+#: A quote holds a value only after an equals sign and if it ends; any other is a sign like any other.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+)(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -40,18 +44,48 @@ _ITEMS = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {
 
 @dataclass
 class Block:
-    """One leaf block: its text, its ancestors' tags and hints, and how many of its characters are in links."""
+    """One leaf block: its text, its nearest element, its ancestors' tags and hints, and how many of its characters are in links."""
 
     text: str
-    tags: tuple[str, ...]
+    own: str
+    tags: frozenset[str]
     hints: frozenset[str]
     linked: int
 
 
 @dataclass
 class _Open:
+    """An open element, with the tags and hints of itself and its ancestors."""
+
     tag: str
-    hints: frozenset[str] = field(default_factory=frozenset)
+    tags: frozenset[str]
+    hints: frozenset[str]
+
+
+class _Stack:
+    """Open elements, with the places of each tag, so that no step walks over what stays open."""
+
+    def __init__(self) -> None:
+        self.items: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.silent = 0
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of that tag, or -1."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def push(self, tag: str, hints: frozenset[str]) -> None:
+        tags, known = (self.items[-1].tags, self.items[-1].hints) if self.items else (frozenset(), frozenset())
+        self.places.setdefault(tag, []).append(len(self.items))
+        self.items.append(_Open(tag, tags if tag in tags else tags | {tag}, known if hints <= known else known | hints))
+        self.silent += tag in SILENT_TAGS
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.items) > depth:
+            tag = self.items.pop().tag
+            self.places[tag].pop()
+            self.silent -= tag in SILENT_TAGS
 
 
 def _hints(attributes: str) -> frozenset[str]:
@@ -60,34 +94,46 @@ def _hints(attributes: str) -> frozenset[str]:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Blocks of text between block-level tags, in page order; broken and unfinished markup is tolerated."""
+    """Blocks of text between block-level tags, in page order; broken and unfinished markup is tolerated.
+
+    A head ends where something begins that can't stand in one, a select likewise; an element whose content is no text
+    counts only if its end tag follows. The work is linear in the page, however many elements stay open.
+    """
     out: list[Block] = []
-    stack: list[_Open] = []
+    stack = _Stack()
     parts: list[str] = []
-    linked = links = silent = 0
+    linked = links = 0
     at = 0
+    ends = {m[1].lower(): m.start() for m in re.finditer(r"</([a-zA-Z]+)", page)}
 
     def close_block() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            hints = frozenset().union(*(o.hints for o in stack))
-            out.append(Block(text, tuple(o.tag for o in stack), hints, linked))
+            here = stack.items[-1] if stack.items else _Open("none", frozenset(), frozenset())
+            out.append(Block(text, here.tag, here.tags, here.hints, linked))
         linked = 0
 
     def take(raw: str) -> None:
         nonlocal linked
-        if raw and not silent:
+        if raw and not stack.silent:
             text = html.unescape(raw)
             parts.append(text)
             if links:
                 linked += len(text.strip())
 
-    def pop_to(depth: int) -> None:
-        nonlocal silent
-        silent -= sum(o.tag in SILENT_TAGS for o in stack[depth:])
-        del stack[depth:]
+    def implied_ends(tag: str) -> None:
+        for holder, allowed in (("head", HEAD_TAGS), ("select", SELECT_TAGS)):
+            place = stack.last(holder)
+            if place >= 0 and tag not in allowed:
+                stack.pop_to(place)
+        if stack.items and stack.items[-1].tag == "p" and tag in _CLOSES_P:
+            stack.pop_to(len(stack.items) - 1)
+        if tag in _ITEMS:
+            place = stack.last(tag)
+            if place > max(map(stack.last, _ITEMS[tag])):
+                stack.pop_to(place)
 
     for m in _TOKEN.finditer(page):
         take(page[at : m.start()])
@@ -106,22 +152,14 @@ def leaf_blocks(page: str) -> list[Block]:
         close_block()
         links = 0
         if m[2]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == tag:
-                    pop_to(depth)
-                    break
+            if stack.last(tag) >= 0:
+                stack.pop_to(stack.last(tag))
+            continue
+        implied_ends(tag)
+        if tag in SILENT_TAGS and ends.get(tag, -1) < m.start():
             continue
-        if stack and stack[-1].tag == "p" and tag in _CLOSES_P:
-            pop_to(len(stack) - 1)
-        for depth in range(len(stack) - 1, -1, -1):
-            if tag in _ITEMS and stack[depth].tag in _ITEMS[tag]:
-                break
-            if tag in _ITEMS and stack[depth].tag == tag:
-                pop_to(depth)
-                break
         if tag not in VOID_TAGS and not m[4].endswith("/"):
-            stack.append(_Open(tag, _hints(m[4])))
-            silent += tag in SILENT_TAGS
+            stack.push(tag, _hints(m[4]))
     take(page[at:])
     close_block()
     return out
@@ -133,9 +171,8 @@ def block_features(block: Block) -> list[str]:
     n = len(words)
     size = "1" if n == 1 else "2-4" if n < 5 else "5-14" if n < 15 else "15-39" if n < 40 else "40+"
     share = block.linked / len(text)
-    own = block.tags[-1] if block.tags else "none"
-    found = [f"in:{t}" for t in set(block.tags)] + [f"hint:{h}" for h in block.hints]
-    found += ["bias", f"own:{own}", f"size:{size}", f"links:{'none' if share == 0 else 'some' if share < 0.5 else 'most'}"]
+    found = [f"in:{t}" for t in block.tags] + [f"hint:{h}" for h in block.hints]
+    found += ["bias", f"own:{block.own}", f"size:{size}", f"links:{'none' if share == 0 else 'some' if share < 0.5 else 'most'}"]
     found.append(f"ends:{'stop' if text[-1] in '.!?:;' else 'other'}")
     found.append(f"commas:{min(3, text.count(','))}")
     lower = text.lower()
@@ -267,7 +304,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
     def extra() -> list[tuple[str, int]]:
         kind = pick("ad", "ad", "notice", "aside", "form", "share", "comments", "related")
         if kind == "ad":
-            name = pick("ad", "ads", "advert", "sponsored", "promo", "banner-ad")
+            name = pick("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad")
             return [(f'<div class="{name}">{pick(sentence(), paragraph())}</div>', [0])]
         if kind == "notice":
             name = pick("cookie-notice", "notice", "consent", "popup", "legal-notice")
@@ -276,6 +313,9 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
             open_tag, close_tag = pick(("<aside>", "</aside>"), ('<div class="sidebar">', "</div>"), ('<div id="sidebar" role="complementary">', "</div>"))
             return [(f"{open_tag}<h3>{words(1, 3)}</h3><p>{paragraph()}</p>{close_tag}", [0, 0])]
         if kind == "form":
+            if rng.random() < 0.3:
+                n = int(rng.integers(2, 6))
+                return [(f"<select>{''.join(f'<option>{words(1, 2)}' for _ in range(n))}</select>", [0] * n)]
             return [(f'<form class="{pick("newsletter", "login", "search", "subscribe")}"><label>{words(1, 3)}</label><input name="q"><p>{sentence()}</p><button>{words(1, 2)}</button></form>', [0, 0, 0])]
         if kind == "share":
             return [(f'<div class="{pick("social", "share", "toolbar")}">{"".join(a for a, _ in links(3))}</div>', [0])]

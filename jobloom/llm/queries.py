@@ -68,6 +68,7 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("frames="), F.col("n_frames").cast("string")),
             F.concat(F.lit("level="), F.format_number("level", 3)),
             F.concat(F.lit("spans="), F.sha2(F.array_join(spans, ","), 256)),
+            F.concat(F.lit("tensors="), F.sha2("tensors", 256)),
         ).alias("feature"),
     )
 

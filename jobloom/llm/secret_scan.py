@@ -36,48 +36,57 @@ BIN, TOP = 0.05, 20.0
 BLOCK = 64
 
 
-def _blocks(values: Column) -> Column:
-    """An array in arrays of BLOCK elements."""
-    last = F.greatest(F.ceil(F.size(values) / BLOCK).cast("int") - 1, F.lit(0))
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * BLOCK + 1, BLOCK))
+def _let(value: Column, body) -> Column:
+    """body of a value that is evaluated, and stands in the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(v: Column) -> Column:
+    """A named array in arrays of BLOCK elements."""
+    last = F.greatest(F.ceil(F.size(v) / BLOCK).cast("int") - 1, F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(v, i * BLOCK + 1, BLOCK))
     return F.filter(parts, lambda x: F.size(x) > 0)
 
 
 def _before(values: Column, plus) -> Column:
     """For each of an array of longs what those before it add up to under an associative plus, from 0; near-linear work."""
-    zero = F.lit(0).cast("long")
 
     def folded(xs: Column) -> Column:
-        start = F.struct(zero.alias("sum"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<bigint>)").alias("out"))
         return F.aggregate(
             xs, start, lambda a, x: F.struct(plus(a["sum"], x).alias("sum"), F.array_append(a["out"], a["sum"]).alias("out"))
         )
 
-    inner = F.transform(_blocks(values), folded)
-    offsets = folded(F.transform(inner, lambda x: x["sum"]))["out"]
-    return F.flatten(F.zip_with(inner, offsets, lambda x, at: F.transform(x["out"], lambda v: plus(at, v))))
+    def joined(inner: Column) -> Column:
+        offsets = folded(F.transform(inner, lambda x: x["sum"]))["out"]
+        return F.flatten(F.zip_with(inner, offsets, lambda x, at: F.transform(x["out"], lambda v: plus(at, v))))
 
+    return _let(F.transform(_let(values, _blocks), folded), joined)
 
-def _at(text: Column, pattern: str) -> Column:
-    """Array of (s, e, m): start, end and string of a pattern's matches, in code points: what lies between is measured."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
-    sizes = F.zip_with(gaps, found, lambda g, m: (g + F.length(m)).cast("long"))
-    starts = F.zip_with(_before(sizes, lambda a, x: a + x), gaps, lambda at, g: at + g)
-    return F.zip_with(
-        starts, found, lambda at, m: F.struct(at.alias("s"), (at + F.length(m)).cast("long").alias("e"), m.alias("m"))
-    )
 
+def _with_matches(df: DataFrame, text: Column, named: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with arrays of (s, e, m), named: start, end and string of a pattern's matches, in code points.
+
+    named gives pattern and hint; texts without the hint have no match. What lies between matches is measured. Each
+    step is a column of its own, as Spark takes long to analyse nested ones.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    pair = lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).alias("n"), m.alias("m"))
+    place = lambda at, x: F.struct((at + x["g"]).alias("s"), (at + x["g"] + x["n"]).alias("e"), x["m"].alias("m"))
+    found, pairs, before, spans = {}, {}, {}, {}
+    for name, (pattern, hint) in named.items():
+        found[name] = F.when(text.rlike(hint), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+        pieces = F.when(F.size(name) > 0, F.slice(F.split(text, pattern, -1), 1, F.size(name))).otherwise(none)
+        pairs[name] = F.zip_with(pieces, name, pair)
+        before[f"{name}_before"] = _before(F.transform(name, lambda x: x["g"] + x["n"]), lambda a, x: a + x)
+        spans[name] = F.zip_with(f"{name}_before", name, place)
+    return df.withColumns(found).withColumns(pairs).withColumns(before).withColumns(spans).drop(*before)
 
-def base_spans(text: Column) -> Column:
-    """Array of (s, k, e): start, number of the kind and end of every base match, by start and kind."""
-    def of_kind(k: int, pattern: str, group: int, least: int) -> Column:
-        long_enough = F.filter(_at(text, pattern), lambda x: F.length(F.regexp_extract(x["m"], pattern, group)) >= least)
-        return F.transform(long_enough, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
 
-    parts = [of_kind(k, *rest) for k, (_, *rest) in enumerate(KINDS)]
-    none = F.expr("cast(array() as array<struct<s:bigint,k:int,e:bigint>>)")
-    return F.when(text.rlike(HINT), F.array_sort(F.concat(*parts))).otherwise(none)
+def _base(k: int, pattern: str, group: int, least: int) -> Column:
+    """Spans (s, k, e) of a kind's matches that are long enough."""
+    long_enough = F.filter(f"secret_kind_{k}", lambda x: F.length(F.regexp_extract(x["m"], pattern, group)) >= least)
+    return F.transform(long_enough, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
 
 
 def _tail(z: Column) -> Column:
@@ -163,34 +172,41 @@ def _deviations(x: Column) -> Column:
     return _keep(x, ["s", "e", "code", "stratum", "n"], uniform=uniform, runs=runs, serial=serial)
 
 
-def _judged(x: Column) -> Column:
-    """The p-value of the hypothesis that the string is ordinary: how seldom such a one looks as random as this.
+def _looking_random(x: Column) -> Column:
+    """The least of the battery's three p-values times three, under the law of random strings.
 
-    The battery gives the least of three p-values times three under the law of random strings. Uniformity: chi-squared
-    over the alphabet, by the cube-root normal form, upper tail. Runs: of signs in the upper and the lower half. Serial
-    correlation: of neighbouring signs' places in the alphabet. A string that shows one half only has the runs p-value
-    0.5 to the power n - 1, one of a single sign the serial p-value 0. What ordinary strings of that encoding and
-    length give instead is known (ORDINARY), and p is their share that gives as much or more.
+    Uniformity: chi-squared over the alphabet, by the cube-root normal form, upper tail. Runs: of signs in the upper
+    and the lower half. Serial correlation: of neighbouring signs' places in the alphabet. A string that shows one half
+    only has the runs p-value 0.5 to the power n - 1, one of a single sign the serial p-value 0.
     """
     runs = F.coalesce(2 * _tail(x["runs"]), F.pow(F.lit(0.5), x["n"] - 1))
     serial = F.coalesce(2 * _tail(x["serial"]), F.lit(0.0))
-    random = F.least(F.lit(1.0), 3 * F.least(_tail(x["uniform"]), runs, serial))
+    least = 3 * F.least(_tail(x["uniform"]), runs, serial)
+    return _keep(x, ["s", "e", "code", "stratum", "n"], random=F.greatest(F.least(F.lit(1.0), least), F.lit(1e-300)))
+
+
+def _standing(x: Column) -> Column:
+    """How many deviations below the mean of ordinary strings of its encoding and length the string stands."""
     means, spreads = (F.array(*[F.lit(o[i]) for o in ORDINARY]) for i in (0, 1))
-    far = F.sqrt(-F.log10(F.greatest(random, F.lit(1e-300))))
-    return _keep(x, ["s", "e", "stratum"], p=_tail((F.get(means, x["code"]) * x["n"] - far) / F.get(spreads, x["code"])))
+    z = (F.get(means, x["code"]) * x["n"] - F.sqrt(-F.log10(x["random"]))) / F.get(spreads, x["code"])
+    return _keep(x, ["s", "e", "stratum"], z=z)
+
+
+def _judged(x: Column) -> Column:
+    """The p-value of the hypothesis that the string is ordinary: the share of such strings that look as random or more so."""
+    return _keep(x, ["s", "e", "stratum"], p=_tail(x["z"]))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (s, e, stratum, p) of the strings that the battery judges; p as in _judged.
+def _candidates() -> Column:
+    """Array of (s, e, stratum, p) of the strings in JUDGED that the battery judges; p as in _judged.
 
     A candidate has a digit and a letter. Its encoding is the smallest alphabet that holds it; the stratum is encoding
     and length class (doubling), so that each length is held to its own cut.
     """
-    found = F.filter(_at(text, CANDIDATE), lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
-    for step in (_encoded, _signs, _measured, _halved, _summed, _deviations, _judged):
+    found = F.filter(JUDGED, lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
+    for step in (_encoded, _signs, _measured, _halved, _summed, _deviations, _looking_random, _standing, _judged):
         found = F.transform(found, step)
-    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint,stratum:string,p:double>>)")
-    return F.when(text.rlike(CANDIDATE), found).otherwise(none)
+    return found
 
 
 def cuts(judged: DataFrame, rate: float) -> dict[str, float]:
@@ -212,9 +228,12 @@ def cuts(judged: DataFrame, rate: float) -> dict[str, float]:
 
 
 def with_judged(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with BASE, the spans of the base kinds, and JUDGED, the candidates with their p-values."""
+    """docs with BASE, the spans (s, k, e) of the base kinds by start and kind, and JUDGED, the candidates with their p-values."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumns({BASE: base_spans(text), JUDGED: candidates(text)})
+    kinds = {f"secret_kind_{k}": (pattern, HINT) for k, (_, pattern, _, _) in enumerate(KINDS)}
+    df = _with_matches(docs, text, kinds | {JUDGED: (CANDIDATE, CANDIDATE)})
+    base = F.array_sort(F.concat(*[_base(k, *rest) for k, (_, *rest) in enumerate(KINDS)]))
+    return df.withColumns({BASE: base, JUDGED: _candidates()}).drop(*kinds)
 
 
 def with_spans(judged: DataFrame, rate: float) -> DataFrame:
@@ -225,10 +244,16 @@ def with_spans(judged: DataFrame, rate: float) -> DataFrame:
     """
     pairs = [F.lit(x) for pair in sorted(cuts(judged, rate).items()) for x in pair] or [F.lit(""), F.lit(-1.0)]
     cut_of = lambda s: F.coalesce(F.try_element_at(F.create_map(*pairs), s), F.lit(-1.0))
-    held = lambda c: F.exists(BASE, lambda b: (b["s"] <= c["s"]) & (b["e"] >= c["e"]))
-    kept = F.filter(JUDGED, lambda c: (c["p"] <= cut_of(c["stratum"])) & ~held(c))
-    more = F.transform(kept, lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e")))
-    return judged.withColumn(SPANS, F.array_sort(F.concat(BASE, more))).drop(JUDGED)
+    called = F.filter(JUDGED, lambda c: c["p"] <= cut_of(c["stratum"]))
+    more = F.transform(called, lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("k"), c["e"].alias("e")))
+    df = judged.withColumn(SPANS, F.array_sort(F.concat(BASE, more))).drop(JUDGED)
+    # In order of start, base spans first, a span is held when a base span before it ends no earlier.
+    ends = f"{SPANS}_ends"
+    own = F.transform(SPANS, lambda x: F.when(x["k"] < 3, x["e"]).otherwise(0))
+    df = df.withColumn(ends, _before(own, lambda a, e: F.greatest(a, e)))
+    pair = lambda x, end: F.struct(x.alias("x"), ((x["k"] < 3) | (end < x["e"])).alias("stays"))
+    stay = F.filter(F.zip_with(SPANS, ends, pair), lambda y: y["stays"])
+    return df.withColumn(SPANS, F.transform(stay, lambda y: y["x"])).drop(ends)
 
 
 def written(spans: Column) -> Column:
@@ -259,25 +284,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     )
 
 
-def masked(text: Column, spans: Column, mark: str) -> Column:
-    """text with each group of overlapping spans, which come in order, replaced by mark.
+def masked(df: DataFrame, text_col: str, spans_col: str, mark: str) -> DataFrame:
+    """df with each group of overlapping spans, which come in order, of its text replaced by mark; spans_col is used up.
 
     Pieces between marks are cut from blocks of the text, so that no piece is counted off from the text's beginning.
     """
-    ends = _before(F.transform(spans, lambda x: x["e"]), lambda a, x: F.greatest(a, x))
-    first = F.filter(F.zip_with(spans, ends, lambda x, at: F.struct(at.alias("a"), x["s"].alias("b"))), lambda x: x["b"] >= x["a"])
-
-    def of_block(xs: Column) -> Column:
-        base = xs[0]["a"]
-        part = F.substring(text, (base + 1).cast("int"), (F.element_at(xs, -1)["b"] - base).cast("int"))
+    text, gaps, last = F.col(text_col).cast("string"), "secret_gaps", "secret_last"
+    stops = F.transform(spans_col, lambda x: x["e"])
+    df = df.withColumns({last: F.array_max(stops), gaps: _before(stops, lambda a, x: F.greatest(a, x))})
+    pairs = F.zip_with(gaps, spans_col, lambda at, x: F.struct(at.alias("a"), x["s"].alias("b")))
+    df = df.withColumn(gaps, F.filter(pairs, lambda x: x["b"] >= x["a"])).withColumn(gaps, _blocks(F.col(gaps)))
+
+    def part(xs: Column) -> Column:
+        size = F.element_at(xs, -1)["b"] - xs[0]["a"]
+        return F.struct(xs.alias("xs"), F.substring(text, (xs[0]["a"] + 1).cast("int"), size.cast("int")).alias("part"))
+
+    def cut_up(y: Column) -> Column:
+        at = y["xs"][0]["a"]
         return F.transform(
-            F.transform(xs, lambda x: F.struct(part.alias("t"), (x["a"] - base + 1).cast("int").alias("i"), (x["b"] - x["a"]).cast("int").alias("n"))),
-            lambda x: F.substring(x["t"], x["i"], x["n"]),
+            y["xs"], lambda x: F.substring(y["part"], (x["a"] - at + 1).cast("int"), (x["b"] - x["a"]).cast("int"))
         )
 
-    last = F.array_max(F.transform(spans, lambda x: x["e"]))
-    tail = F.substring(text, (last + 1).cast("int"), F.length(text))
-    return F.array_join(F.array_append(F.flatten(F.transform(_blocks(first), of_block)), tail), mark)
+    df = df.withColumn(gaps, F.transform(gaps, part)).withColumn(gaps, F.flatten(F.transform(gaps, cut_up)))
+    tail = F.substring(text, (F.col(last) + 1).cast("int"), F.length(text))
+    whole = F.array_join(F.array_append(gaps, tail), mark)
+    return df.withColumn(text_col, F.when(F.size(spans_col) > 0, whole).otherwise(text)).drop(gaps, last, spans_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rate: float = 0.05) -> DataFrame:
@@ -286,6 +317,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rate
     Null texts stay null; repeated rows and null ids are kept; an empty table gives no rows. The cuts take a pass of
     their own over the texts, which judges candidates only.
     """
-    found = with_spans(with_judged(docs, text_col), rate)
-    text = F.col(text_col).cast("string")
-    return found.withColumn(text_col, F.when(F.size(SPANS) > 0, masked(text, F.col(SPANS), mark)).otherwise(text)).select(docs.columns)
+    return masked(with_spans(with_judged(docs, text_col), rate), text_col, SPANS, mark).select(docs.columns)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.byte_words import loaded, plain, signs
+from jobloom.llm.byte_words import added_strings, loaded, plain, signs
 
 #: Pieces that the byte-level tokenizer never joins: a word with the one space before it, or white space.
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -21,11 +21,15 @@ SCHEMA = "section bigint, start bigint, `end` bigint, n_tokens bigint, n_crossin
 
 
 class SpanEncoder:
-    """Character spans of a text's tokens under a byte-level tokenizer; pieces are encoded once and remembered."""
+    """Character spans of a text's tokens under a byte-level tokenizer; pieces are encoded once and remembered.
+
+    A text with a string of an added token, or a sign on which notions of white space differ, is encoded as it is.
+    """
 
     def __init__(self, path: str, most: int = 500_000):
         self.tokenizer = loaded(path)
         self.model = self.tokenizer.model
+        self.odd = (*added_strings(self.tokenizer), "\x1c", "\x1d", "\x1e", "\x1f")
         self.most = most
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
@@ -37,9 +41,9 @@ class SpanEncoder:
             return [*self._tokens(piece[:-1]), *self._tokens(word[-1])]
         return self.tokenizer.encode(piece, add_special_tokens=False).tokens
 
-    def _spans(self, piece: str) -> tuple[bytes, bytes]:
+    def _spans(self, piece: str, tokens: list[str]) -> tuple[bytes, bytes]:
         """Starts and ends in characters; each sign of a byte-level token stands for one byte."""
-        ends = list(accumulate(map(len, self._tokens(piece))))
+        ends = list(accumulate(map(len, tokens)))
         starts = [0, *ends[:-1]]
         if not piece.isascii():
             owner = [i for i, c in enumerate(piece) for _ in c.encode()]
@@ -47,12 +51,16 @@ class SpanEncoder:
         return array("i", starts).tobytes(), array("i", ends).tobytes()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if any(x in text for x in self.odd):
+            # Strings of added tokens are cut out before the pieces are made; the separators are no white space there.
+            whole = self._spans(text, self.tokenizer.encode(text, add_special_tokens=False).tokens)
+            return tuple(np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in whole)
         pieces = _PIECE.findall(text)
         if len(self.known) > self.most:
             self.known.clear()
         for p in set(pieces):
             if p not in self.known:
-                self.known[p] = self._spans(p)
+                self.known[p] = self._spans(p, self._tokens(p))
         spans = [self.known[p] for p in pieces]
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         counts = np.fromiter((len(s) for s, _ in spans), dtype=np.int64, count=len(pieces)) // 4
@@ -121,7 +129,7 @@ def count_tokens(
     that holds most of it, the first of equals. Tokens outside all sections are in a row with section -1, if there are
     any; a document's n_tokens sum to doc_tokens.
 
-    A null or empty text has one empty line with 0 tokens; null sections are no sections. Repeated rows and null ids
+    A null or empty text has one empty line with 0 tokens; null sections, and null ones among them, are no sections. Repeated rows and null ids
     are kept, each with its own rows; an empty table gives no rows. Nothing is shuffled.
     """
     names = [x.split()[0].strip("`") for x in SCHEMA.split(", ")]
@@ -134,7 +142,7 @@ def count_tokens(
             given = batch.column(2).to_pylist() if sections_col else None
             for i, cell in enumerate(batch.column(1)):
                 text = cell.as_py() or ""
-                spans = line_sections(text) if given is None else [tuple(x.values())[:2] for x in given[i] or []]
+                spans = line_sections(text) if given is None else [tuple(x.values())[:2] for x in given[i] or [] if x is not None]
                 starts, ends = encode(text)
                 counts, crossing = attribute(starts, ends, spans)
                 rows = [(k, *s, counts[k], crossing[k], len(starts)) for k, s in enumerate(spans)]

@@ -133,6 +133,40 @@ def test_license_cases(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def plain_notices(text):
+    """Labels of the method by comparing every run of words with every template."""
+    words = license_scan.words_of(text)
+    found = {}
+    for label, body, must in license_scan.TEMPLATES:
+        wanted, musts, width = set(license_scan.words_of(body)), set(license_scan.words_of(must)), license_scan.block_words(body)
+        for i in range(max(1, len(words) - width + 1)):
+            block = set(words[i : i + width])
+            if musts <= block and len(wanted & block) >= 0.8 * len(wanted) - 1e-9:
+                found[label] = max(found.get(label, 0), len(wanted & block) / len(wanted))
+    return found
+
+
+def test_license_blocks_cross_lines(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for label, body, _ in license_scan.TEMPLATES:
+        words = body.split()
+        lines = "\n * ".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+        kept = [w for w in words if rng.random() > 0.12]
+        texts += [lines, f"some text\n{lines}\nmore", " ".join(kept), " ".join(w + " filler" for w in words), " ".join(rng.permutation(words)) + " x" * 500]
+        texts.append(" ".join(rng.choice([*words, "and", "the", "file", "x1"], 300)))
+    texts += ["released under the license", "released by me under the terms of the mit museum license", "Licensed under CC BY-NC 4.0."]
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        want = plain_notices(text)
+        labels = set(got[i].labels.split(",")) - {""} - set(got[i].base_labels.split(","))
+        assert labels == set(want), text
+        assert got[i].score == (1.0 if got[i].n_base else pytest.approx(max(want.values(), default=0.0)))
+    for k, (label, _, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[6 * k].labels.split(",") and label in got[6 * k + 1].labels.split(",")
+    assert got[len(texts) - 3].labels == "" and "cc-by-nc-notice" in got[len(texts) - 1].labels
+
+
 def plain_base(text):
     out = []
     for k, (_, pattern, group, least) in enumerate(secret_scan.KINDS):
@@ -192,7 +226,8 @@ def plain_p(token, code):
 def test_battery_equals_plain_code(spark):
     tokens = ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "0123456789abcdef0123456789abcdef", "00000000000000000000000000000000000000ab"]
     tokens += ["getUserProfileByTenantId2Async", "dGhpcyBpcyBhIHJhbmRvbSBrZXk0Nzg5MjM0"]
-    rows = docs(spark, tokens).select("doc_id", F.explode(secret_scan.candidates(F.col("text"))).alias("c")).select("doc_id", "c.*")
+    judged = secret_scan.with_judged(docs(spark, tokens).select("doc_id", "text"), "text")
+    rows = judged.select("doc_id", F.explode(secret_scan.JUDGED).alias("c")).select("doc_id", "c.*")
     found = rows.collect()
     assert len(found) == len(tokens)
     for r in found:
@@ -267,7 +302,7 @@ def test_spans_that_overlap_give_one_mark(spark):
                 want.append(text[at:s])
             at = max(at, e)
         frame = spark.createDataFrame([(text, spans)], "text string, spans array<struct<s:bigint,k:int,e:bigint>>")
-        assert frame.select(secret_scan.masked(F.col("text"), F.col("spans"), "|")).first()[0] == "|".join([*want, text[at:]])
+        assert secret_scan.masked(frame, "text", "spans", "|").first()[0] == "|".join([*want, text[at:]])
 
 
 def test_redaction(spark):
@@ -341,12 +376,118 @@ def test_resampling_keeps_a_tone():
     assert abs(int(spectrum.argmax()) - 440) <= 1
 
 
+def test_resampling_equals_the_plain_sum():
+    settings = audio.Settings(stored_rate=10_000, rate=8_000, taps=16)
+    up, down, filters = audio.polyphase(settings)
+    signal = np.random.default_rng(1).standard_normal(137)
+    out = audio.resample(signal, up, down, filters)
+    half, cutoff = settings.taps / 2, up / down
+    for n in range(len(out)):
+        centre = (n % up) * down / up
+        block = n // up * down
+        # The filter of a phase reaches half its taps to both sides of the place between samples that it stands for.
+        at = np.arange(-8, down + 8)
+        far = np.abs(at - centre) / half
+        weights = cutoff * np.sinc(cutoff * (at - centre)) * np.where(far < 1, 0.5 + 0.5 * np.cos(np.pi * far), 0)
+        weights /= weights.sum()
+        inside = (block + at >= 0) & (block + at < len(signal))
+        assert out[n] == pytest.approx(signal[(block + at)[inside]] @ weights[inside], abs=1e-12)
+
+
+def test_log_mels_equal_a_plain_transform():
+    s = audio.Settings()
+    bank = audio.mel_filters(s)
+    signal = np.random.default_rng(2).standard_normal(1111)
+    mels, energy = audio.log_mels(signal, s, bank)
+    size, hop = 200, 80
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (k * mel(4000) / (s.mels + 1) / 2595) - 1) for k in range(s.mels + 2)]
+    for frame in range(len(mels)):
+        part = np.zeros(size)
+        own = signal[frame * hop : frame * hop + size]
+        part[: len(own)] = own
+        assert energy[frame] == pytest.approx(np.log((part**2).mean() + 1e-6))
+        if frame % 4:
+            continue
+        shaped = part * [0.5 - 0.5 * np.cos(2 * np.pi * i / (size - 1)) for i in range(size)]
+        power = [abs(sum(x * np.exp(-2j * np.pi * k * i / s.fft) for i, x in enumerate(shaped))) ** 2 for k in range(s.fft // 2 + 1)]
+        for m in range(0, s.mels, 7):
+            low, mid, high = edges[m : m + 3]
+            total = 0.0
+            for k, x in enumerate(power):
+                f = k * s.rate / s.fft
+                total += x * max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid)))
+            assert mels[frame, m] == pytest.approx(np.log(total + 1e-6), rel=1e-5)
+    assert len(mels) == 1 + -(-(1111 - size) // hop)
+
+
 def test_hysteresis():
-    e = np.array([0, 0, 10, 6, 10, 0, 0, 6, 0.0])
-    assert audio.segments(e) == [(2, 5), (7, 8)] or audio.segments(e) == [(2, 5)]
+    rng = np.random.default_rng(3)
+    for energy in [np.array([0, 0, 10, 6, 10, 0, 0, 6, 0.0]), *(rng.standard_normal(int(n)) for n in rng.integers(2, 90, 60))]:
+        low, high = energy.mean() - energy.std() / 2, energy.mean() + energy.std() / 2
+        want, begun = [], None
+        for i, e in enumerate(energy):
+            if begun is None and e > high:
+                begun = i
+            elif begun is not None and e < low:
+                want.append((begun, i))
+                begun = None
+        if begun is not None:
+            want.append((begun, len(energy)))
+        assert audio.segments(energy) == want
     assert audio.segments(np.ones(4)) == [(0, 4)]
 
 
+def test_audio_of_a_long_text_holds_its_tensors(spark):
+    text = "".join(map(chr, np.random.default_rng(1).integers(32, 1000, 400_000)))
+    got = audio.features(docs(spark, [text])).first()
+    table = audio.read_tensors(bytes(got.tensors))
+    assert got.n_bytes == len(text.encode()) and got.n_frames > 4000
+    signal = (np.frombuffer(bytes(got.payload), np.uint8) - 128.0) / 128.0
+    s = audio.Settings()
+    mels, _ = audio.log_mels(audio.resample(signal, *audio.polyphase(s)), s, audio.mel_filters(s))
+    block = table.column("log_mel").combine_chunks().to_numpy_ndarray()
+    for row in (0, len(block) // 2, len(block) - 1):
+        start, end = table.column("start_ms")[row].as_py() // 10, table.column("end_ms")[row].as_py() // 10
+        assert np.allclose(block[row, : end - start], mels[start:end], atol=1e-5) and not block[row, end - start :].any()
+
+
+def plain_sections(text, spans, tokenizer):
+    """(tokens, crossing) of each section, and last of none, character by character."""
+    owner = [i for i, c in enumerate(text) for _ in c.encode()]
+    counts, at = np.zeros((len(spans) + 1, 2), int), 0
+    for token in tokenizer.encode(text, add_special_tokens=False).tokens:
+        chars = sorted(set(owner[at : at + len(token)]))
+        at += len(token)
+        held = [sum(s <= c < e for c in chars) for s, e in spans]
+        outside = len(chars) - sum(held)
+        best = max(held, default=0)
+        own = len(spans) if outside > best or not best else held.index(best)
+        counts[own] += (1, (sum(h > 0 for h in held) + (outside > 0)) > 1)
+    return counts
+
+
+def test_section_counts_equal_brute_force(spark):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i, text in enumerate([*odd_texts(600, 11), "a  <|endoftext|>\n\n b", *ODD[1:6]]):
+        cuts = np.unique(rng.integers(0, len(text) + 1, 6))
+        spans = [(int(a), int(b)) for a, b in zip(cuts, cuts[1:], strict=False) if rng.random() < 0.7]
+        rows.append((i, text, spans))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, parts array<struct<a:int,b:int>>")
+    for sections in ("parts", None):
+        got = defaultdict(dict)
+        for r in token_counts.count_tokens(frame, path, sections_col=sections).collect():
+            got[r.doc_id][r.section] = (r.n_tokens, r.n_crossing)
+        for i, text, spans in rows:
+            want = plain_sections(text, spans if sections else token_counts.line_sections(text), tokenizer)
+            for k, (n, crossing) in enumerate(want.tolist()):
+                key = -1 if k == len(want) - 1 else k
+                assert got[i].get(key, (0, 0)) == (n, crossing), (text, spans, key)
+
+
 def test_token_counts_round_trip(spark, real):
     texts = ODD + [r.text for r in real.select("text").limit(40).collect()]
     path = queries.tokenizer_path("byte_bpe_50k.json")
@@ -369,7 +510,7 @@ def test_allocation_rule():
 
 
 def test_sections_column(spark):
-    frame = spark.createDataFrame([(1, "one two three", [(0, 3), (4, 7)]), (2, "x", None)], "doc_id bigint, text string, parts array<struct<a:int,b:int>>")
+    frame = spark.createDataFrame([(1, "one two three", [(0, 3), None, (4, 7)]), (2, "x", None)], "doc_id bigint, text string, parts array<struct<a:int,b:int>>")
     got = token_counts.count_tokens(frame, queries.tokenizer_path("byte_bpe_50k.json"), sections_col="parts").collect()
     assert sorted((r.doc_id, r.section, r.n_tokens) for r in got) == [(1, -1, 1), (1, 0, 1), (1, 1, 1), (2, -1, 1)]
 
