@@ -72,9 +72,12 @@ def can_auto_retry(now: int) -> Column:
 
 
 def stall_action(now: int, interval: int = STALL_INTERVAL, grace: int = GRACE_PERIOD, most: int = MAX_STALLS) -> Column:
-    """keep, retry or move_to_dlq. Nothing stalls before its grace period is over; silence must pass interval."""
+    """keep, retry or move_to_dlq.
+
+    Nothing stalls before its grace period is over; silence must pass the job's own stall_timeout or, without one, interval.
+    """
     early = c("started_at").isNull() | (now - c("started_at") < grace)
-    quiet = now - c("heartbeat_at") <= interval
+    quiet = now - c("heartbeat_at") <= F.coalesce("stall_timeout", F.lit(interval))
     return (
         F.when(early | F.coalesce(quiet, F.lit(True)), "keep")
         .when(c("stall_count") + 1 >= most, "move_to_dlq")

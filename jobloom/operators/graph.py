@@ -2,36 +2,93 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 c = F.col
+#: So many tables of earlier rounds stand beside each other before they are written as one.
+PARTS = 12
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir, or to one of our own where that is unset."""
+    """df, written to the folder in spark.checkpoint.dir; on one machine, where that is unset, to one beside the warehouse."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jobloom-"))
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return df.checkpoint()
 
 
+def _grown(first: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """first and all that repeated steps from what is new add to it; each round writes its new rows only."""
+    front = kept(first.distinct())
+    seen, parts = front, 1
+    while not front.isEmpty():
+        front = kept(step(front).distinct().join(seen, keys, "left_anti"))
+        seen, parts = seen.unionByName(front), parts + 1
+        if parts > PARTS:
+            seen, parts = kept(seen), 1
+    return seen
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node): all nodes that each start reaches over (src, dst), cycles allowed.
+    """(start, node): all nodes that each start reaches over (src, dst), cycles allowed."""
+    first = starts.select(c("node").alias("start")).join(edges, c("start") == c("src")).select("start", c("dst").alias("node"))
+    return _grown(first, lambda front: front.join(edges, c("node") == c("src")).select("start", c("dst").alias("node")), ["start", "node"])
+
+
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node): starts and all nodes that any of them reaches, each once."""
+    return _grown(
+        starts.select("node"), lambda front: front.join(edges, c("node") == c("src")).select(c("dst").alias("node")), ["node"]
+    )
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(c("dst").alias("src"), c("src").alias("dst"))
+
 
-    Semi-naive: each round joins only the pairs that the last one added; pairs seen before leave by an anti-join.
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(node): the nodes that lie on a cycle over (src, dst).
+
+    What no topological level takes from either side is left. There each node takes the greatest node that reaches it
+    as its colour; the nodes that reach back to their colour's node lie on cycles with it. They and the colours' nodes
+    go, and what is left is trimmed and coloured again. Every step keeps a row a node, never pairs of nodes.
     """
-    seen = kept(starts.select(c("node").alias("start")).join(edges, c("start") == c("src")).select("start", c("dst").alias("node")).distinct())
-    front = seen
-    while not front.isEmpty():
-        step = front.join(edges, c("node") == c("src")).select("start", c("dst").alias("node")).distinct()
-        front = kept(step.join(seen, ["start", "node"], "left_anti"))
-        seen = kept(seen.unionByName(front))
-    return seen
+    rest = _core(edges)
+    found: DataFrame | None = None
+    while not rest.isEmpty():
+        colours = _coloured(rest)
+        own = rest.join(colours.select(c("node").alias("src"), "colour"), "src")
+        own = own.join(colours.select(c("node").alias("dst"), c("colour").alias("dst_colour")), "dst").where("colour = dst_colour")
+        ends = own.where("dst = colour").select(c("src").alias("node"))
+        back = kept(_grown(ends, lambda front, e=own: front.join(turned(e), c("node") == c("src")).select(c("dst").alias("node")), ["node"]))
+        found = back if found is None else found.unionByName(back)
+        gone = back.union(colours.select("colour")).distinct()
+        inside = rest.join(gone.select(c("node").alias("src")), "src", "left_anti").join(gone.select(c("node").alias("dst")), "dst", "left_anti")
+        rest = _core(inside.select("src", "dst"))
+    return edges.select(c("src").alias("node")).limit(0) if found is None else found.distinct()
+
+
+def _core(edges: DataFrame) -> DataFrame:
+    """Edges that no topological level takes from the front or from the back."""
+    return turned(peel(turned(peel(edges)[1]))[1])
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, colour): the greatest node that reaches each, itself included."""
+    now = kept(edges.select(c("src").alias("node")).union(edges.select(c("dst").alias("node"))).distinct().withColumn("colour", c("node")))
+    while True:
+        sent = edges.join(now, c("src") == c("node")).select(c("dst").alias("node"), "colour")
+        after = kept(now.unionByName(sent).groupBy("node").agg(F.max("colour").alias("colour")))
+        if after.join(now, ["node", "colour"], "left_anti").isEmpty():
+            return after
+        now = after
 
 
 def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,14 +143,10 @@ def removable(children: DataFrame, edges: DataFrame) -> DataFrame:
 
     edges (job_id, dependency_id). A child that a job outside the set needs stays, and so does what it needs in turn.
     """
-    left = kept(children.select("id").distinct())
-    while True:
-        outside = edges.join(left.select(c("id").alias("job_id")), "job_id", "left_anti")
-        needed = outside.select(c("dependency_id").alias("id"))
-        after = kept(left.join(needed, "id", "left_anti"))
-        if after.count() == left.count():
-            return after
-        left = after
+    own = kept(children.select(c("id").alias("node")).distinct())
+    arrows = edges.select(c("job_id").alias("src"), c("dependency_id").alias("dst")).join(own.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    outside = arrows.join(own.withColumnRenamed("node", "src"), "src", "left_anti").select(c("dst").alias("node"))
+    return own.join(reached(arrows, outside), "node", "left_anti").select(c("node").alias("id"))
 
 
 def chain_edges(steps: DataFrame, chain: str, order: str, node: str) -> DataFrame:
@@ -108,9 +161,16 @@ def fan_in_edges(steps: DataFrame, final: str) -> DataFrame:
 
 
 def admitted_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
-    """The new edges (src, dst) that close no cycle over the existing ones: those whose dst does not reach src."""
+    """The new edges (src, dst) that close no cycle over the existing ones: those whose dst does not reach src.
+
+    Pairs are followed only over edges that lie both behind some new dst and before some new src.
+    """
+    behind = reached(edges, new.select(c("dst").alias("node")).distinct())
+    before = reached(turned(edges), new.select(c("src").alias("node")).distinct())
+    both = kept(behind.join(before, "node", "left_semi"))
+    near = edges.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi")
     starts = new.select(c("dst").alias("node")).distinct()
-    back = reachable(edges, starts).select(c("start").alias("dst"), c("node").alias("src"))
+    back = reachable(kept(near.select("src", "dst")), starts).select(c("start").alias("dst"), c("node").alias("src"))
     return new.where("src <> dst").join(back, ["src", "dst"], "left_anti")
 
 

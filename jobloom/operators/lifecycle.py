@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from jobloom.functions.cron import cron_next
 from jobloom.functions.predicates import in_states, is_expired
-from jobloom.functions.scalars import server_backoff
+from jobloom.functions.scalars import aged_priority, server_backoff
+from jobloom.operators.graph import on_cycles
 from jobloom.operators.joins import claim_grouped
 from jobloom.operators.ordering import claimable, oldest_before, ready_order
 
@@ -266,3 +268,78 @@ def unneeded_dependencies(dependencies: DataFrame, jobs: DataFrame) -> DataFrame
     """Edges of jobs that are gone or done."""
     live = jobs.where("stored_state <> 'completed'").select(c("id").alias("job_id"))
     return dependencies.join(live, "job_id", "left_anti")
+
+
+def stale_waiting(jobs: DataFrame, blocked: DataFrame, now: int, age: int = 3_600_000) -> DataFrame:
+    """Pending jobs that have waited for a dependency for longer than an age."""
+    old = jobs.where((c("stored_state") == "pending") & (c("created_at") < now - age))
+    return old.join(blocked.select(c("job_id").alias("id")), "id", "left_semi").select("id")
+
+
+def admit_batch(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
+    """M2: the rows of a batch (id, unique_key, ordinal, replaces, invalid) that are inserted.
+
+    The rows before the first invalid one stay. Of equal keys the last that replaces supersedes the others, else the
+    first stays. A key that a live job holds admits only rows that replace it, and none while that job is active.
+    """
+    first_bad = incoming.where("invalid").agg(F.min("ordinal").alias("first_bad"))
+    prefix = incoming.join(F.broadcast(first_bad), F.lit(True), "left").where("first_bad is null or ordinal < first_bad")
+    held = jobs.where("stored_state <> 'completed' and unique_key is not null").groupBy("unique_key")
+    held = held.agg(F.bool_or(c("stored_state") == "active").alias("is_busy"))
+    free = prefix.join(held, "unique_key", "left").where("is_busy is null or (replaces and not is_busy)")
+    last = F.when(c("replaces"), c("ordinal"))
+    by = Window.partitionBy("unique_key").orderBy(c("replaces").desc(), last.desc(), "ordinal")
+    named = free.where("unique_key is not null").withColumn("n", F.row_number().over(by)).where("n = 1")
+    return named.select(incoming.columns).unionByName(free.where("unique_key is null").select(incoming.columns))
+
+
+def flow_outcomes(jobs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """M3: (flow, outcome) for flows of nodes (flow, id) and edges (flow, src, dst: src depends on dst): all or nothing.
+
+    accepted, or the first that holds: an id that exists or stands twice, a dependency that is neither in the flow nor a
+    job, a cycle.
+    """
+    twice = nodes.groupBy("flow", "id").agg(F.count("*").alias("n")).where("n > 1").select("flow")
+    taken = nodes.join(jobs.select("id"), "id", "left_semi").select("flow").union(twice).distinct().withColumn("taken", F.lit(True))
+    known = edges.join(nodes.select("flow", c("id").alias("dst")), ["flow", "dst"], "left_anti")
+    lost = known.join(jobs.select(c("id").alias("dst")), "dst", "left_anti").select("flow").distinct().withColumn("lost", F.lit(True))
+    named = edges.select(F.struct("flow", c("src").alias("id")).alias("src"), F.struct("flow", c("dst").alias("id")).alias("dst"))
+    round_again = on_cycles(named).select("node.flow").distinct().withColumn("round_again", F.lit(True))
+    flows = nodes.select("flow").distinct().join(taken, "flow", "left").join(lost, "flow", "left").join(round_again, "flow", "left")
+    outcome = F.when(c("taken"), "existing_id").when(c("lost"), "unknown_dependency").when(c("round_again"), "cycle").otherwise("accepted")
+    return flows.select("flow", outcome.alias("outcome"))
+
+
+def cron_tick(crons: DataFrame, workers: DataFrame, now: int) -> DataFrame:
+    """The due crons with outcome, executions and next_run.
+
+    At its limit a cron is removed. It is skipped where its queue has no worker and it asks for one, or when it last
+    fired less than 80 % of its interval ago (of a minute for schedules); else it fires. A skipped cron moves on too.
+    """
+    known = workers.select("queue", F.lit(True).alias("has_worker")).distinct()
+    due = crons.where(c("next_run") <= now).join(known, "queue", "left")
+    recent = now - c("last_fired") < 0.8 * F.coalesce("repeat_every", F.lit(60_000))
+    outcome = (
+        F.when(c("executions") >= c("max_limit"), "removed")
+        .when(c("skip_without_worker") & c("has_worker").isNull(), "no-worker")
+        .when(recent, "overlap")
+        .otherwise("fired")
+    )
+    at = F.lit(now).cast("bigint")
+    periods = F.greatest(F.lit(1), F.ceil((now + 1 - c("next_run")) / c("repeat_every")))
+    by_interval = c("next_run") + c("repeat_every") * periods
+    following = F.when(c("schedule").isNotNull(), cron_next("schedule", at, "zone")).otherwise(F.coalesce(by_interval, at))
+    judged = due.withColumn("outcome", outcome)
+    return judged.withColumns(
+        {
+            "executions": (c("executions") + (c("outcome") == "fired").cast("int")).cast("int"),
+            "next_run": F.when(c("outcome") != "removed", following.cast("bigint")),
+        }
+    ).drop("has_worker")
+
+
+def age_priorities(jobs: DataFrame, now: int, least_age: int, boost: int, most: int, scan: int) -> DataFrame:
+    """(id, priority) of jobs whose priority rises, among the oldest `scan` waiting and `scan` prioritized ones."""
+    pages = [jobs.where(c("state") == s).orderBy("created_at", "id").limit(scan) for s in ("waiting", "prioritized")]
+    old = (now - c("created_at") >= least_age) & (c("priority") < most)
+    return pages[0].unionByName(pages[1]).where(old).select("id", aged_priority(now, least_age, boost, most).alias("priority"))

@@ -62,3 +62,10 @@ def claimable(jobs: DataFrame, blocked: DataFrame, now: int) -> DataFrame:
     """Jobs that may run now: pending, due, not expired, and with no unmet dependency (ids in blocked)."""
     due = jobs.where((c("stored_state") == "pending") & (c("run_at") <= now) & ~is_expired(now))
     return due.join(blocked.select(c("job_id").alias("id")), "id", "left_anti")
+
+
+def capped(counts: DataFrame, name: str, value: str, most: int) -> DataFrame:
+    """The first so many names in order, then a row without a name that tells how many are left out."""
+    shown = counts.orderBy(name).limit(most)
+    left_out = counts.agg(F.greatest(F.count("*") - most, F.lit(0)).alias(value)).select(F.lit(None).cast("string").alias(name), value)
+    return shown.select(name, value).unionByName(left_out)

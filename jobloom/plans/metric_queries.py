@@ -229,23 +229,19 @@ def _arrows(v, name="cyclic"):
     return getattr(v, name).select(c("job_id").alias("src"), c("dependency_id").alias("dst"))
 
 
-REACH = """, walk(start, node) AS (SELECT job_id, dependency_id FROM cyclic WHERE job_id IN (SELECT id FROM jobs WHERE queue = 'q1')
+REACH = """, walk(start, node) AS (SELECT job_id, dependency_id FROM cyclic
     UNION SELECT w.start, c.dependency_id FROM walk w JOIN cyclic c ON c.job_id = w.node) """
 
 
 @query("j13_reachable", REACH + "SELECT start, node FROM walk")
 def _(v):
-    return G.reachable(_arrows(v), v.jobs.where("queue = 'q1'").select(c("id").alias("node")))
+    return G.reachable(_arrows(v), v.jobs.select(c("id").alias("node")))
 
 
 @query("j13_cycles", """, walk(start, node) AS (SELECT job_id, dependency_id FROM cyclic
     UNION SELECT w.start, c.dependency_id FROM walk w JOIN cyclic c ON c.job_id = w.node) SELECT start AS node FROM walk WHERE start = node""")
 def _(v):
-    arrows = _arrows(v)
-    # Only what no topological level takes can be on a cycle.
-    rest = G.peel(arrows)[1]
-    starts = rest.select(c("src").alias("node")).distinct()
-    return G.reachable(rest, starts).where("start = node").select("node")
+    return G.on_cycles(_arrows(v))
 
 
 @query("j14_asymmetric", """SELECT job_id AS src, dependency_id AS dst, 'parent' AS side FROM cyclic WHERE job_id <= dependency_id""")
@@ -262,17 +258,19 @@ def _(v):
 
 @query("j15_tree", """, narrow AS (SELECT job_id, dependency_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY dependency_id) AS n
     FROM cyclic) WHERE n <= 2),
-walk(root, node, depth, path) AS (SELECT id, id, 0, [id] FROM jobs WHERE queue = 'q2' UNION ALL
+walk(root, node, depth, path) AS (SELECT id, id, 0, [id] FROM jobs UNION ALL
     SELECT root, n.dependency_id, depth + 1, list_append(path, n.dependency_id) FROM walk JOIN narrow n ON n.job_id = node
     WHERE depth < 4 AND NOT list_contains(path, n.dependency_id)) SELECT root, node, depth FROM walk""")
 def _(v):
-    return G.tree(_arrows(v), v.jobs.where("queue = 'q2'").select(c("id").alias("node")), 4, 2)
+    return G.tree(_arrows(v), v.jobs.select(c("id").alias("node")), 4, 2)
 
 
-@query("j17_removable")
+@query("j17_removable", """, child AS (SELECT id FROM jobs WHERE stored_state = 'pending'),
+need(id) AS (SELECT dependency_id FROM dependencies WHERE job_id NOT IN (SELECT id FROM child) AND dependency_id IN (SELECT id FROM child)
+    UNION SELECT d.dependency_id FROM need n JOIN dependencies d ON d.job_id = n.id WHERE d.dependency_id IN (SELECT id FROM child))
+SELECT id FROM child WHERE id NOT IN (SELECT id FROM need)""")
 def _(v):
-    children = v.jobs.where("stored_state = 'pending' and queue in ('q0', 'q1', 'q2', 'q3')").select("id")
-    return G.removable(children, v.dependencies)
+    return G.removable(v.jobs.where("stored_state = 'pending'").select("id"), v.dependencies)
 
 
 @query("g2_chain", """SELECT lag(id) OVER w AS src, id AS dst FROM chain WINDOW w AS (PARTITION BY conv_id ORDER BY turn)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobloom.functions import predicates as P
 from jobloom.functions import scalars as X
@@ -11,16 +12,11 @@ from jobloom.operators import graph as G
 from jobloom.operators import joins as J
 from jobloom.operators import lifecycle as M
 from jobloom.operators import ordering as O
+from jobloom.operators.ranking import numbered
 from jobloom.plans.registry import query
 from jobloom.sources.tables import DAY, NOW
 
 c = F.col
-CRONS = "(VALUES ('a', 100, 0, NULL), ('b', 200, 3, 3), ('c', 300, 2, 3), ('d', 900, 0, NULL)) AS t(name, next_run, executions, max_limit)"
-
-
-def _crons(v):
-    rows = [("a", 100, 0, None), ("b", 200, 3, 3), ("c", 300, 2, 3), ("d", 900, 0, None)]
-    return v.spark.createDataFrame(rows, "name string, next_run bigint, executions int, max_limit int")
 
 
 @query("f7_collected", "SELECT id, state FROM stated WHERE queue = 'q4' AND state IN ('waiting', 'active', 'failed')")
@@ -40,14 +36,14 @@ def _(v):
     return keys.where(P.is_key_expired(NOW)).select("id", "unique_key")
 
 
-@query("f14_due_crons", f"SELECT name FROM {CRONS} WHERE next_run <= 300 AND (max_limit IS NULL OR executions < max_limit)")
+@query("f14_due_crons", f"SELECT name FROM crons WHERE next_run <= {NOW} AND (max_limit IS NULL OR executions < max_limit)")
 def _(v):
-    return _crons(v).where(P.is_cron_due(300)).select("name")
+    return v.crons.where(P.is_cron_due(NOW)).select("name")
 
 
-@query("o15_cron_order", f"SELECT name, CAST(next_run AS BIGINT) AS next_run FROM {CRONS} WHERE next_run <= 500 ORDER BY next_run, name LIMIT 2")
+@query("o15_cron_order", f"SELECT name, next_run FROM crons WHERE next_run <= {NOW} ORDER BY next_run, name LIMIT 100")
 def _(v):
-    return _crons(v).where("next_run <= 500").orderBy("next_run", "name").limit(2).select("name", "next_run")
+    return v.crons.where(c("next_run") <= NOW).orderBy("next_run", "name").limit(100).select("name", "next_run")
 
 
 @query("f18_quarantine", "SELECT event_id FROM events WHERE try_cast(CASE WHEN event_id % 50 = 0 THEN '{' || props ELSE props END AS JSON) IS NULL")
@@ -65,10 +61,10 @@ def _(v):
     return J.group_capacity(v.groups, active, 50, 10, 20).select("group_id", "available")
 
 
-@query("j7_journal_join", """SELECT l.id, l.tx, c.n FROM log l JOIN (SELECT tx, count(*) AS n FROM log GROUP BY 1) c USING (tx) WHERE tx > 900""")
+@query("j7_journal_join", """SELECT l.id, l.tx, c.n FROM log l JOIN (SELECT tx, count(*) AS n FROM log GROUP BY 1) c USING (tx) WHERE tx > 0""")
 def _(v):
     commits = v.events.groupBy("tx").agg(F.count("*").alias("n"))
-    return J.journal(v.events, commits, c("tx") > 900).select("id", "tx", "n")
+    return J.journal(v.events, commits, c("tx") > 0).select("id", "tx", "n")
 
 
 @query("u3_children", "SELECT job_id AS parent, dependency_id AS child FROM dependencies UNION SELECT dependency_id, job_id FROM cyclic")
@@ -105,12 +101,10 @@ def _(v):
 @query("w1_group_positions", """SELECT id, row_number() OVER (PARTITION BY group_id ORDER BY priority, run_at, group_order, id) AS position
     FROM live WHERE group_id IS NOT NULL""")
 def _(v):
-    from pyspark.sql.window import Window
-
     blocked = J.unmet(v.dependencies, v.completions)
     waiting = O.claimable(v.jobs, blocked, NOW).where("group_id is not null")
-    by = Window.partitionBy("group_id").orderBy("priority", "run_at", "group_order", "id")
-    return waiting.select("id", F.row_number().over(by).cast("bigint").alias("position"))
+    order = [c(x) for x in ("priority", "run_at", "group_order", "id")]
+    return numbered(waiting.select("group_id", *order), "group_id", order, "position").select("id", "position")
 
 
 @query("w4_dlq_cap", """SELECT entry_id FROM (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY entered_at DESC NULLS LAST, entry_id DESC) AS n
@@ -119,12 +113,11 @@ def _(v):
     return M.evict(v.dlq, 100).select("entry_id")
 
 
-@query("x9_stack_lines", r"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')),
-    lambda x: x <> '')[1:2], '|') AS lines FROM conversations WHERE NOT coalesce(contains(text, chr(10)), FALSE)""")
+@query("x9_stack_lines", r"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(replace(text, '.', chr(10)), chr(10)),
+    lambda x: trim(x, ' ')), lambda x: x <> '')[1:2], '|') AS lines FROM conversations""")
 def _(v):
-    text = F.regexp_replace("text", r"\.", "\n")
-    turns = v.table("conversations").where(~F.coalesce(c("text").contains("\n"), F.lit(False)))
-    return turns.select("conv_id", "turn", F.array_join(X.stack_lines(text, 2), "|").alias("lines"))
+    text = F.replace("text", F.lit("."), F.lit("\n"))
+    return v.table("conversations").select("conv_id", "turn", F.array_join(X.stack_lines(text, 2), "|").alias("lines"))
 
 
 @query("x11_dedup_key", """SELECT id, name || ':{"queue":"' || queue || '","priority":' || priority || '}' AS key FROM jobs""")
@@ -148,6 +141,46 @@ def _(v):
     return M.admit(v.jobs, new).select("id")
 
 
+@query("m2_admit_batch", """, new AS (SELECT id || 'n' AS id, 'v' || substr(id, 10, 2) AS unique_key, id AS ordinal, id LIKE '%7' AS replaces,
+    id LIKE '%998' AS invalid FROM jobs WHERE queue = 'q1'),
+prefix AS (SELECT * FROM new WHERE ordinal < coalesce((SELECT min(ordinal) FROM new WHERE invalid), 'x')),
+held AS (SELECT unique_key, bool_or(stored_state = 'active') AS busy FROM jobs WHERE stored_state <> 'completed' GROUP BY 1)
+SELECT id FROM prefix LEFT JOIN held USING (unique_key) WHERE busy IS NULL OR (replaces AND NOT busy)
+QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY replaces DESC, CASE WHEN replaces THEN ordinal END DESC, ordinal) = 1""")
+def _(v):
+    new = v.jobs.where("queue = 'q1'").select(
+        F.concat("id", F.lit("n")).alias("id"),
+        F.concat(F.lit("v"), F.substring("id", 10, 2)).alias("unique_key"),
+        c("id").alias("ordinal"),
+        c("id").like("%7").alias("replaces"),
+        c("id").like("%998").alias("invalid"),
+    )
+    return M.admit_batch(v.jobs, new).select("id")
+
+
+@query("m3_admit_flows", """, line AS (SELECT l_orderkey AS flow, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+node AS (SELECT flow, flow || ':' || n AS id, n, count(*) OVER (PARTITION BY flow) AS size FROM line),
+edge AS (SELECT flow, id AS src, flow || ':' || (n - 1) AS dst FROM node WHERE n > 1
+    UNION ALL SELECT flow, id, flow || ':' || size FROM node WHERE n = 1 AND flow % 7 = 0
+    UNION ALL SELECT flow, id, 'none' FROM node WHERE n = 1 AND flow % 5 = 0),
+walk(start, place) AS (SELECT src, dst FROM edge WHERE flow % 7 = 0 UNION SELECT w.start, e.dst FROM walk w JOIN edge e ON e.src = w.place)
+SELECT CAST(flow AS BIGINT) AS flow, CASE WHEN bool_or(EXISTS (SELECT 1 FROM edge e WHERE e.flow = o.flow AND e.dst NOT IN (SELECT id FROM node))) THEN 'unknown_dependency'
+    WHEN bool_or(EXISTS (SELECT 1 FROM walk WHERE start = place AND start LIKE o.flow || ':%')) THEN 'cycle' ELSE 'accepted' END AS outcome
+FROM node o GROUP BY flow""")
+def _(v):
+    kinds = v.table("lineitem").select(c("l_orderkey").cast("bigint").alias("flow"), "l_linenumber").distinct()
+    n = F.row_number().over(Window.partitionBy("flow").orderBy("l_linenumber"))
+    line = kinds.withColumn("n", n).select("flow", F.concat_ws(":", "flow", "n").alias("id"), "n")
+    sizes = line.groupBy("flow").agg(F.count("*").alias("size"))
+    node = line.join(sizes, "flow")
+    before = F.when(c("n") > 1, F.concat_ws(":", "flow", c("n") - 1))
+    back = F.when((c("n") == 1) & (c("flow") % 7 == 0), F.concat_ws(":", "flow", "size"))
+    lost = F.when((c("n") == 1) & (c("flow") % 5 == 0), F.lit("none"))
+    edge = node.select("flow", c("id").alias("src"), F.explode(F.array_compact(F.array(before, back, lost))).alias("dst"))
+    return M.flow_outcomes(v.jobs, node.select("flow", "id"), edge)
+
+
 @query("m10_priority", "SELECT id, CASE WHEN queue = 'q1' AND stored_state = 'pending' THEN 9 ELSE priority END AS priority FROM jobs")
 def _(v):
     return M.change_priority(v.jobs, v.jobs.where("queue = 'q1'").select("id"), 9).select("id", "priority")
@@ -213,6 +246,27 @@ def _(v):
     return M.unneeded_dependencies(v.dependencies, v.jobs)
 
 
+@query("m29_stale_waiting", f"""SELECT id FROM jobs WHERE stored_state = 'pending' AND created_at < {NOW - 3600000}
+    AND id IN (SELECT job_id FROM blocked)""")
+def _(v):
+    return M.stale_waiting(v.jobs, J.unmet(v.dependencies, v.completions), NOW)
+
+
+@query("o16_capped_queues", """, n AS (SELECT queue, count(*) AS n, row_number() OVER (ORDER BY queue) AS place FROM jobs GROUP BY queue)
+SELECT queue, n FROM n WHERE place <= 5 UNION ALL SELECT NULL, count(*) FROM n WHERE place > 5""")
+def _(v):
+    return O.capped(v.jobs.groupBy("queue").agg(F.count("*").alias("n")), "queue", "n", 5)
+
+
+@query("x13_aging_scan", f"""SELECT id, least(priority + 2, 3) AS priority FROM (
+    (SELECT * FROM stated WHERE state = 'waiting' ORDER BY created_at, id LIMIT 100) UNION ALL
+    (SELECT * FROM stated WHERE state = 'prioritized' ORDER BY created_at, id LIMIT 100))
+    WHERE {NOW} - created_at >= {300 * DAY} AND priority < 3""")
+def _(v):
+    states = A.with_state(v.jobs, v.dead, NOW)
+    return M.age_priorities(states, NOW, 300 * DAY, 2, 3, 100)
+
+
 @query("m31_logs", """SELECT job_id, id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY id DESC) AS n
     FROM (SELECT tx AS job_id, id FROM log)) WHERE n <= 5""")
 def _(v):

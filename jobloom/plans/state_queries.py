@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobloom.functions.cron import cron_next, cron_text
+from jobloom.functions.cron import cron_error, cron_next, cron_text
 from jobloom.functions.processors import process_batches, process_each
 from jobloom.operators import lifecycle as M
 from jobloom.plans.registry import query
@@ -96,10 +96,47 @@ def _(v):
 
 @query("x6_cron_next")
 def _(v):
-    rows = [("0 9 * * *", "America/New_York"), ("30 30 2 * * *", "Europe/Rome"), ("*/15 * * * *", None), ("@weekly", "UTC")]
-    crons = v.spark.createDataFrame(rows, "schedule string, zone string")
     at = F.lit(NOW).cast("bigint")
-    return crons.select("schedule", cron_next("schedule", at, "zone").alias("next_run"), cron_text("schedule").alias("text"))
+    return v.crons.select(
+        "name", "schedule", cron_next("schedule", at, "zone").alias("next_run"), cron_error("schedule", "zone").alias("error"),
+        cron_text("schedule").alias("text"),
+    )
+
+
+@query("t14_cron_tick", f"""SELECT name, CASE WHEN executions >= max_limit THEN 'removed'
+    WHEN skip_without_worker AND queue NOT IN ('q0', 'q1', 'q2', 'q3') THEN 'no-worker'
+    WHEN {NOW} - last_fired < 0.8 * coalesce(repeat_every, 60000) THEN 'overlap' ELSE 'fired' END AS outcome,
+    executions + CASE WHEN outcome = 'fired' THEN 1 ELSE 0 END AS executions,
+    CASE WHEN repeat_every IS NOT NULL AND outcome <> 'removed' THEN next_run + repeat_every * greatest(1, CAST(ceil(({NOW} + 1 - next_run) / CAST(repeat_every AS DOUBLE)) AS BIGINT)) END
+        AS next_interval_run
+    FROM crons WHERE next_run <= {NOW}""")
+def _(v):
+    workers = v.jobs.select("queue").where("queue in ('q0', 'q1', 'q2', 'q3')").distinct()
+    ticked = M.cron_tick(v.crons, workers, NOW)
+    return ticked.select("name", "outcome", "executions", F.when(c("repeat_every").isNotNull(), c("next_run")).alias("next_interval_run"))
+
+
+@query("t18_queue_threshold", f""", days AS (SELECT queue, occurred_at // {DAY} AS day, count(*) AS waiting FROM log GROUP BY ALL)
+SELECT queue, day, waiting FROM days QUALIFY waiting >= 20 AND coalesce(lag(waiting) OVER (PARTITION BY queue ORDER BY day), 0) < 20""")
+def _(v):
+    day = F.floor(c("occurred_at") / DAY).alias("day")
+    return S.threshold_alerts(v.events.groupBy("queue", day).agg(F.count("*").alias("waiting")), "queue", "day", "waiting", 20)
+
+
+@query("t18_queue_idle")
+def _(v):
+    day = (F.floor(c("occurred_at") / DAY) * DAY).cast("bigint").alias("at")
+    sizes = v.events.groupBy("queue", day).agg(F.count_if(c("event_type") == "pushed").alias("busy"))
+    # The sign tells idle checks from busy ones.
+    checks = sizes.withColumn("id", c("at")).withColumn("signed", F.when(c("busy") == 0, c("at")).otherwise(-c("at")))
+    return T.run_batch(checks, "queue", "at", T.lasting(DAY), "id", "signed")
+
+
+@query("t4_dedup_owned")
+def _(v):
+    owner = F.element_at(F.array(F.lit("queued"), F.lit("active"), F.lit("gone")), (c("id") % 3 + 1).cast("int"))
+    rows = v.events.select("id", "dedup_key", "occurred_at", owner.alias("owner"))
+    return T.run_batch(rows, "dedup_key", "occurred_at", T.dedup_owned(3 * DAY, "replace"), also="owner")
 
 
 @query("d1_processed", "SELECT id, CAST(progress * 2 AS VARCHAR) AS result, NULL::VARCHAR AS error FROM jobs WHERE stored_state = 'active'")

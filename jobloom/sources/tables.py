@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: The clock of all registered queries, in epoch milliseconds, near the middle of the order dates.
 NOW = 892771200000
 DAY = 86400000
+#: Schedules and zones of the made-up crons.
+SCHEDULES = ["0 9 * * *", "30 30 2 * * *", "*/15 * * * *", "@weekly", "not a cron"]
+ZONES = ["America/New_York", "Europe/Rome", "UTC"]
 #: Failure reasons in the order of their numbers.
 REASONS = ["explicit_fail", "max_attempts_exceeded", "timeout", "stalled", "ttl_expired", "worker_lost", "unknown"]
 
@@ -54,6 +57,7 @@ class Views:
             F.lit(3).alias("max_attempts"),
             (k % 3).cast("int").alias("stall_count"),
             F.when(k % 3 == 0, F.lit(30 * DAY).cast("bigint")).alias("timeout"),
+            F.when(k % 5 == 0, F.lit(40 * DAY).cast("bigint")).alias("stall_timeout"),
             F.when(k % 2 == 0, F.concat(F.lit("c"), k.cast("string"))).alias("custom_id"),
             F.concat(F.lit("u"), (c % 1000).cast("string")).alias("unique_key"),
             (k % 101).cast("int").alias("progress"),
@@ -128,7 +132,7 @@ class Views:
     @cached_property
     def dead(self) -> DataFrame:
         """Jobs that stand in the dead-letter queue."""
-        return self.dlq.where("entry_id % 10 = 1 and entry_id % 50 = 1").select("job_id").distinct()
+        return self.dlq.select("job_id").distinct()
 
     @cached_property
     def queue_state(self) -> DataFrame:
@@ -142,6 +146,26 @@ class Views:
             rows, "group_id string, paused boolean, concurrency_limit int, rate_limit int, rate_count int, last_served int"
         )
 
+    @cached_property
+    def crons(self) -> DataFrame:
+        """A cron for each customer: by schedule, by interval, and some whose schedule can't be read."""
+        k = F.col("c_custkey")
+        schedules = F.array(*[F.lit(s) for s in SCHEDULES], F.lit(None).cast("string"))
+        zones = F.array(*[F.lit(z) for z in ZONES], F.lit(None).cast("string"))
+        none = F.lit(None).cast("bigint")
+        return self.table("customer").select(
+            F.concat(F.lit("cron"), k.cast("string")).alias("name"),
+            F.concat(F.lit("q"), (k % 8).cast("string")).alias("queue"),
+            F.get(schedules, (k % 6).cast("int")).alias("schedule"),
+            F.get(zones, (k % 4).cast("int")).alias("zone"),
+            F.when(k % 6 == 5, (k % 5 + 1) * 3600000).otherwise(none).alias("repeat_every"),
+            (NOW + (k % 11 - 5) * 3600000).cast("bigint").alias("next_run"),
+            (k % 5).cast("int").alias("executions"),
+            F.when(k % 3 == 0, 4).alias("max_limit"),
+            F.when(k % 2 == 0, NOW - (k % 7) * 900000).otherwise(none).alias("last_fired"),
+            (k % 4 == 1).alias("skip_without_worker"),
+        )
+
     @cached_property
     def chain(self) -> DataFrame:
         """Turns of a conversation as a chain of jobs: each depends on the one before."""
@@ -160,6 +184,7 @@ base_jobs AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, 'q' || (o
     o_orderkey AS group_order, CASE WHEN o_orderkey % 4 = 0 THEN CAST(500 AS BIGINT) * {DAY} END AS ttl,
     CAST(o_orderkey % 4 AS INTEGER) AS attempts, 3 AS max_attempts, CAST(o_orderkey % 3 AS INTEGER) AS stall_count,
     CASE WHEN o_orderkey % 3 = 0 THEN CAST(30 AS BIGINT) * {DAY} END AS timeout,
+    CASE WHEN o_orderkey % 5 = 0 THEN CAST(40 AS BIGINT) * {DAY} END AS stall_timeout,
     CASE WHEN o_orderkey % 2 = 0 THEN 'c' || o_orderkey END AS custom_id, 'u' || (o_custkey % 1000) AS unique_key,
     CAST(o_orderkey % 101 AS INTEGER) AS progress, o_totalprice AS price, o_orderkey % 7 AS wait_days FROM orders),
 jobs AS (SELECT *, CASE WHEN stored_state <> 'pending' THEN run_at + 3600000 END AS started_at,
@@ -182,7 +207,14 @@ dlq AS (SELECT l_orderkey * 10 + l_linenumber AS entry_id, lpad(CAST(l_orderkey
     CASE WHEN l_linenumber % 2 = 0 THEN epoch_ms(l_shipdate) + CAST(10 AS BIGINT) * {DAY} END AS next_retry_at,
     CASE WHEN l_linenumber % 3 <> 0 THEN epoch_ms(l_shipdate) + CAST(40 AS BIGINT) * {DAY} END AS expires_at
     FROM lineitem WHERE l_returnflag = 'R'),
-dead AS (SELECT DISTINCT job_id FROM dlq WHERE entry_id % 10 = 1 AND entry_id % 50 = 1),
+dead AS (SELECT DISTINCT job_id FROM dlq),
+crons AS (SELECT 'cron' || c_custkey AS name, 'q' || (c_custkey % 8) AS queue,
+    [{", ".join(f"'{s}'" for s in SCHEDULES)}, NULL][c_custkey % 6 + 1] AS schedule, [{", ".join(f"'{z}'" for z in ZONES)}, NULL][c_custkey % 4 + 1] AS zone,
+    CASE WHEN c_custkey % 6 = 5 THEN (c_custkey % 5 + 1) * 3600000 END AS repeat_every,
+    {NOW} + (c_custkey % 11 - 5) * 3600000 AS next_run, CAST(c_custkey % 5 AS INTEGER) AS executions,
+    CASE WHEN c_custkey % 3 = 0 THEN 4 END AS max_limit,
+    CASE WHEN c_custkey % 2 = 0 THEN {NOW} - (c_custkey % 7) * 900000 END AS last_fired, c_custkey % 4 = 1 AS skip_without_worker
+    FROM customer),
 queue_state AS (SELECT 'q' || i AS queue, i IN (2, 5) AS paused, CAST(i * 40 AS INTEGER) AS concurrency,
     i % 2 = 1 AS auto_retry, 2 AS max_auto_retries FROM range(10) AS r(i)),
 groups AS (SELECT 'g' || i AS group_id, i = 3 AS paused, CASE WHEN i > 0 THEN CAST(2000 + 5 * i AS INTEGER) END AS concurrency_limit,

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from jobloom.operators.joins import unmet
+from jobloom.operators.ranking import numbered
 
 c = F.col
 
@@ -45,8 +46,13 @@ def released(dependencies: DataFrame, completions: DataFrame, finished: DataFram
 
 def batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """Rows of a key numbered into batches of at most so many, in order."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("batch", F.floor((number - 1) / size))
+    return numbered(rows, key, [c(order)], "number").withColumn("batch", F.floor((c("number") - 1) / size)).drop("number")
+
+
+def threshold_alerts(sizes: DataFrame, key: str, at: str, size: str, most: int) -> DataFrame:
+    """Where a key's size reaches the threshold from below; it alerts again only after a check below."""
+    before = F.lag(size).over(Window.partitionBy(key).orderBy(at))
+    return sizes.withColumn("size_before", before).where((c(size) >= most) & (F.coalesce("size_before", F.lit(0)) < most)).drop("size_before")
 
 
 def write_latest(stream: DataFrame, write: Callable[[DataFrame, int], None], key: str, order: str, at: str) -> StreamingQuery:

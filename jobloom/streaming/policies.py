@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 State = tuple
-Policy = Callable[[State, int], tuple[str, State]]
+Policy = Callable[..., tuple[str, State]]
 
 
 def dedup(ttl: int, mode: str = "reject") -> Policy:
@@ -30,6 +30,41 @@ def dedup(ttl: int, mode: str = "reject") -> Policy:
     return step
 
 
+def dedup_owned(ttl: int, mode: str = "reject") -> Policy:
+    """T4 where the owner's state counts: the event also tells whether the key's owner is queued, active or gone.
+
+    extend prolongs the key; with a queued owner the event is skipped, else it is an error. replace takes a queued
+    owner's place, waits behind an active one, and is new where the owner is gone. reject skips while the owner lives.
+    """
+
+    def step(state: State, at: int, owner: str) -> tuple[str, State]:
+        if not state or at >= state[0]:
+            return "new", (at + ttl,)
+        if mode == "extend":
+            return ("extended" if owner == "queued" else "error"), (at + ttl,)
+        if mode == "replace":
+            made = {"queued": "replaced", "active": "behind_active"}.get(owner, "new")
+            return made, (at + ttl,) if made != "behind_active" else state
+        return ("duplicate", state) if owner != "gone" else ("new", (at + ttl,))
+
+    return step
+
+
+def lasting(least: int) -> Policy:
+    """T18, idle and overload: an alert when what is checked has lasted so long, after which it starts anew.
+
+    Checks at which it holds are positive times, others negative ones.
+    """
+
+    def step(state: State, at: int) -> tuple[str, State]:
+        if at < 0:
+            return "ended", ()
+        since = state[0] if state else at
+        return ("alert", ()) if state and at - since >= least else ("holds", (since,))
+
+    return step
+
+
 def token_bucket(capacity: float, per_second: float) -> Policy:
     """T6, memory: tokens refill continuously up to capacity; each start takes one."""
 
@@ -87,8 +122,9 @@ def run_batch(
     tie: str = "id",
     value: str | None = None,
     decision: str = "decision",
+    also: str | None = None,
 ) -> DataFrame:
-    """events with a decision, each key's in order of (at, tie); the policy is given the time or another value.
+    """events with a decision, each key's in order of (at, tie); the policy is given the time or another value, and `also`.
 
     Keys are dealt by hash and sorted within their partition; a task streams over its rows and holds one key's state.
     """
@@ -97,10 +133,11 @@ def run_batch(
         current, state = object(), ()
         for frame in frames:
             found = []
-            for k, t in zip(frame[key], frame[value or at], strict=True):
+            more = [()] * len(frame) if also is None else [(x,) for x in frame[also]]
+            for k, t, x in zip(frame[key], frame[value or at], more, strict=True):
                 if k != current:
                     current, state = k, ()
-                made, state = policy(state, int(t))
+                made, state = policy(state, int(t), *x)
                 found.append(made)
             yield frame.assign(**{decision: found})
 

@@ -9,6 +9,7 @@ from jobloom.functions import processors as D
 from jobloom.functions import scalars as X
 from jobloom.operators import aggregates as A
 from jobloom.operators import graph as G
+from jobloom.operators.ranking import numbered
 from jobloom.operators import joins as J
 from jobloom.operators import lifecycle as M
 from jobloom.operators import ordering as O
@@ -219,3 +220,84 @@ def test_scalars(spark):
     ).first()
     assert (row.capped, row.fib, row.first, row.late) == (3_600_000.0, 80.0, 110, 110)
     assert (row.stack, row.tail) == (["a", "b"], ["b", "c"])
+
+
+def test_nodes_on_cycles(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "e"), ("x", "a"), ("f", "y"), ("s", "s"), ("p", "q")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    assert sorted(values(G.on_cycles(edges), "node")) == ["a", "b", "c", "e", "f", "s"]
+    assert G.on_cycles(spark.createDataFrame([("p", "q")], "src string, dst string")).count() == 0
+
+
+def test_flows_are_admitted_whole_or_not(spark):
+    nodes = [(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "e"), (4, "old"), (5, "t"), (5, "t"), (6, "f")]
+    edges = [(1, "a", "b"), (2, "c", "d"), (2, "d", "c"), (3, "e", "nowhere"), (6, "f", "old")]
+    got = M.flow_outcomes(
+        spark.createDataFrame([("old",)], "id string"),
+        spark.createDataFrame(nodes, "flow int, id string"),
+        spark.createDataFrame(edges, "flow int, src string, dst string"),
+    )
+    want = {1: "accepted", 2: "cycle", 3: "unknown_dependency", 4: "existing_id", 5: "existing_id", 6: "accepted"}
+    assert {r.flow: r.outcome for r in got.collect()} == want
+
+
+def test_batch_keeps_its_prefix_and_replacing_rows_supersede(spark):
+    jobs = spark.createDataFrame([("active", "k1"), ("pending", "k2"), ("completed", "k3")], "stored_state string, unique_key string")
+    rows = [
+        ("a", "k3", 1, False, False), ("b", "k3", 2, True, False), ("c", "k3", 3, False, False), ("d", None, 4, False, False),
+        ("e", "k1", 5, True, False), ("f", "k2", 6, False, False), ("g", "k2", 7, True, False), ("bad", "z", 8, False, True), ("h", "w", 9, False, False),
+    ]
+    batch = spark.createDataFrame(rows, "id string, unique_key string, ordinal int, replaces boolean, invalid boolean")
+    assert sorted(values(M.admit_batch(jobs, batch), "id")) == ["b", "d", "g"]
+
+
+def test_cron_tick_outcomes(spark):
+    rows = [
+        ("gone", "q", None, None, 60_000, 10, 4, 4, None, False), ("lonely", "none", None, None, 60_000, 10, 0, None, None, True),
+        ("again", "q", None, None, 60_000, 10, 0, None, 99_000, False), ("runs", "q", None, None, 60_000, 10, 0, None, 40_000, False),
+        ("clock", "q", "* * * * *", None, None, 10, 0, None, None, False), ("odd", "q", "no cron", None, None, 10, 0, None, None, False),
+        ("later", "q", None, None, 60_000, 200_000, 0, None, None, False),
+    ]
+    kinds = "name string, queue string, schedule string, zone string, repeat_every bigint, next_run bigint, executions int, max_limit int, last_fired bigint, skip_without_worker boolean"
+    got = M.cron_tick(spark.createDataFrame(rows, kinds), spark.createDataFrame([("q",)], "queue string"), 100_000)
+    assert {r.name: (r.outcome, r.executions, r.next_run) for r in got.collect()} == {
+        "gone": ("removed", 4, None), "lonely": ("no-worker", 0, 120_010), "again": ("overlap", 0, 120_010),
+        "runs": ("fired", 1, 120_010), "clock": ("fired", 1, 120_000), "odd": ("fired", 1, None),
+    }
+
+
+def test_alerts_and_owned_keys():
+    def run(policy, events):
+        state, out = (), []
+        for e in events:
+            made, state = policy(state, *e)
+            out.append(made)
+        return out
+
+    assert run(T.lasting(10), [(1,), (5,), (11,), (12,), (-13,), (14,), (30,)]) == ["holds", "holds", "alert", "holds", "ended", "holds", "alert"]
+    events = [(0, "gone"), (5, "queued"), (6, "active"), (30, "queued")]
+    assert run(T.dedup_owned(20, "extend"), events) == ["new", "extended", "error", "new"]
+    assert run(T.dedup_owned(20, "replace"), events) == ["new", "replaced", "behind_active", "new"]
+    assert run(T.dedup_owned(20), events) == ["new", "duplicate", "duplicate", "new"]
+
+
+def test_numbers_within_large_keys(spark):
+    rows = [("a" if i % 9 else None, i) for i in range(400)]
+    got = numbered(spark.createDataFrame(rows, "k string, i int").repartition(7), "k", [F.col("i")], "n").collect()
+    for key in ("a", None):
+        own = sorted((r.n, r.i) for r in got if r.k == key)
+        assert own == list(enumerate(sorted(i for k, i in rows if k == key), 1))
+
+
+def test_schedules_that_cannot_be_read_give_null(spark):
+    rows = [(None, None), ("61 * * * *", None), ("* * * * *", "No/Where"), ("* * * * *", None)]
+    frame = spark.createDataFrame(rows, "s string, z string").select(
+        cron.cron_next("s", F.lit(0).cast("bigint"), "z").alias("at"), cron.cron_error("s", "z").alias("error"), cron.cron_text("s").alias("text")
+    )
+    got = frame.collect()
+    assert [r.at for r in got] == [None, None, None, 60_000] and [r.error is None for r in got] == [False, False, False, True]
+
+
+def test_timeline_is_full_at_twenty(spark):
+    full = spark.range(1).select(X.timeline_append(F.array_repeat(F.lit("x"), 20), F.lit("y")).alias("a"), X.timeline_append(F.array(F.lit("x")), F.lit("y")).alias("b")).first()
+    assert full.a == ["x"] * 20 and full.b == ["x", "y"]
