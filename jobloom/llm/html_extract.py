@@ -315,7 +315,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[int]]]:
         if kind == "form":
             if rng.random() < 0.3:
                 n = int(rng.integers(2, 6))
-                return [(f"<select>{''.join(f'<option>{words(1, 2)}' for _ in range(n))}</select>", [0] * n)]
+                return [(f"<select>{''.join(f'<option>{words(1, 2)}' for _ in range(n))}", [0] * n)]
             return [(f'<form class="{pick("newsletter", "login", "search", "subscribe")}"><label>{words(1, 3)}</label><input name="q"><p>{sentence()}</p><button>{words(1, 2)}</button></form>', [0, 0, 0])]
         if kind == "share":
             return [(f'<div class="{pick("social", "share", "toolbar")}">{"".join(a for a, _ in links(3))}</div>', [0])]

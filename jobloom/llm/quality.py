@@ -105,31 +105,41 @@ class Constant:
         return np.full(len(x), self.value)
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = {0: np.zeros((FEATURES + 1, FEATURES + 1)), 1: np.zeros((FEATURES + 1, FEATURES + 1))}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = batch.column("x").flatten().to_numpy().reshape(-1, FEATURES)
-        x = np.hstack([np.ones((len(x), 1)), x])
-        y = batch.column("y").to_numpy()
-        for c in sums:
-            own = x[y == c]
-            sums[c] += own.T @ own
-    for c, m in sums.items():
-        at = np.arange(m.size)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m.size, c)), pa.array(at), pa.array(m.ravel())], ["y", "at", "value"]
-        )
+def _moments(measured: bool):
+    """Sums of products of (1, x) by label y, a row for each entry; x is in the batches, or measured here from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {c: np.zeros((FEATURES + 1, FEATURES + 1)) for c in (0, 1)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if measured:
+                x = batch.column("x").flatten().to_numpy().reshape(-1, FEATURES)
+            else:
+                x = np.array([statistics(t.as_py()) for t in batch.column("x")])
+            x = np.hstack([np.ones((len(x), 1)), x])
+            y = batch.column("y").to_numpy()
+            for c in sums:
+                own = x[y == c]
+                sums[c] += own.T @ own
+        for c, m in sums.items():
+            at = np.arange(m.size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(m.size, c)), pa.array(at), pa.array(m.ravel())], ["y", "at", "value"]
+            )
+
+    return run
 
 
 def fit(labelled: DataFrame, shrinkage: float = 0.15, prior: float | None = None) -> Discriminant | Constant:
-    """Fit on all rows of (x, y). Moments are summed per task and then by entry; 2 * 169 numbers come to the driver.
+    """Fit on all rows of (x, y), x statistics or whole texts. Moments are summed per task and then by entry; 2 * 169
+    numbers come to the driver.
 
     Each class covariance is shrunk by `shrinkage` towards the pooled one, and that towards its diagonal.
     """
+    measured = labelled.schema["x"].dataType.typeName() == "array"
     cells = labelled.where("y in (0, 1)").select("x", F.col("y").cast("bigint")).mapInArrow(
-        _moments, "y bigint, at bigint, value double"
+        _moments(measured), "y bigint, at bigint, value double"
     )
     sums = np.zeros((2, (FEATURES + 1) ** 2))
     for r in cells.groupBy("y", "at").agg(F.sum("value").alias("value")).collect():
@@ -175,8 +185,8 @@ def train_on_some(
     """
     known = labels.select(F.col(id_col), F.col(label_col).alias("y")).where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1))
     some = known.orderBy(F.xxhash64(id_col), id_col, "y").limit(most).withColumnRenamed(id_col, "labelled_id")
-    found = docs.join(F.broadcast(some), F.col(id_col) == F.col("labelled_id")).select("y", F.col(text_col).cast("string"))
-    return fit(found.mapInArrow(_featured("y"), f"y {known.schema['y'].dataType.simpleString()}, x array<double>"))
+    found = docs.join(F.broadcast(some), F.col(id_col) == F.col("labelled_id"))
+    return fit(found.select(F.col(text_col).cast("string").alias("x"), "y"))
 
 
 def score(x: DataFrame, model: Discriminant | Constant, id_col: str = "doc_id") -> DataFrame:
