@@ -9,10 +9,10 @@ from jobloom.functions import processors as D
 from jobloom.functions import scalars as X
 from jobloom.operators import aggregates as A
 from jobloom.operators import graph as G
-from jobloom.operators.ranking import numbered
 from jobloom.operators import joins as J
 from jobloom.operators import lifecycle as M
 from jobloom.operators import ordering as O
+from jobloom.operators.ranking import numbered
 from jobloom.streaming import policies as T
 
 JOB = (
@@ -51,10 +51,12 @@ def test_timeout_boundaries(spark, now, one, sweep):
 
 
 def test_stall_actions(spark):
-    rows = [("grace", 96_000, 0, 0), ("quiet", 0, 70_000, 0), ("stalled", 0, 69_999, 0), ("last", 0, 0, 2), ("new", None, 0, 0)]
-    df = spark.createDataFrame(rows, "id string, started_at bigint, heartbeat_at bigint, stall_count int")
+    rows = [("grace", 96_000, 0, 0, None), ("quiet", 0, 70_000, 0, None), ("stalled", 0, 69_999, 0, None), ("last", 0, 0, 2, None), ("new", None, 0, 0, None)]
+    rows += [("patient", 0, 50_000, 0, 50_000), ("hasty", 0, 99_000, 0, 500)]
+    df = spark.createDataFrame(rows, "id string, started_at bigint, heartbeat_at bigint, stall_count int, stall_timeout bigint")
     got = {r.id: r.a for r in df.select("id", P.stall_action(100_000).alias("a")).collect()}
-    assert got == {"grace": "keep", "quiet": "keep", "stalled": "retry", "last": "move_to_dlq", "new": "keep"}
+    want = {"grace": "keep", "quiet": "keep", "stalled": "retry", "last": "move_to_dlq", "new": "keep", "patient": "keep", "hasty": "retry"}
+    assert got == want
 
 
 def test_ready_order(spark):
