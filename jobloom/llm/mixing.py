@@ -15,6 +15,10 @@ from jobloom.llm.storage import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the seeded order that one round of the cut search resolves, and all its bits.
 STEP, ORDER_BITS = 10, 60
+#: Columns of the result; columns of documents of these names give way to them.
+RESULTS = ["mix_size", "mix_taken", "mix_source_size", "mix_target"]
+#: So many different sets of sources are planned at most.
+MOST_PATTERNS = 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -150,20 +154,24 @@ def mix(
     and the rest to those first in an order seeded by (seed, id): the document at the cut gives only its part, or, with
     whole_documents, all or nothing, whichever is nearer. No document gives more than repeats times its size.
 
-    The driver sees one row per pattern (as many as there are different sets of sources), never documents. Null and
+    The driver sees one row per pattern (as many as there are different sets of sources), never documents; more than
+    MOST_PATTERNS of them, which 16 sources can't have, are an error, as nothing could be left out of the flow. Null and
     empty texts have size 0 and give nothing. Repeated rows of one id stand at one place of the order and share what
     is taken there. Equal tables give equal results. An empty table gives no rows.
     """
-    pattern = F.to_json(F.array_sort(F.array_distinct(sources)), {"ignoreNullFields": "false"})
+    pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array()))), {"ignoreNullFields": "false"})
     place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << ORDER_BITS))
-    known = docs.withColumns({"mix_pattern": pattern, "mix_size": word_count(F.col(text_col)), "mix_place": place})
+    known = docs.drop(*RESULTS).withColumns({"mix_inner_pattern": pattern, "mix_size": word_count(F.col(text_col)), "mix_inner_place": place})
     sized = cut(
         known.select(
-            F.col("mix_pattern").alias("pattern"), F.col("mix_size").alias("size"), F.col("mix_place").alias("place")
+            F.col("mix_inner_pattern").alias("pattern"), F.col("mix_size").alias("size"), F.col("mix_inner_place").alias("place")
         )
     )
-    tokens = {r.pattern: r.tokens for r in sized.groupBy("pattern").agg(F.sum("size").alias("tokens")).collect()}
-    members = {p: json.loads(p) if p is not None else [] for p in tokens}
+    sums = sized.groupBy("pattern").agg(F.sum("size").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
+    if len(sums) > MOST_PATTERNS:
+        raise ValueError(f"documents have more than {MOST_PATTERNS} different sets of sources: join sources first")
+    tokens = {r.pattern: r.tokens for r in sums}
+    members = {p: json.loads(p) for p in tokens}
     sizes: dict[str | None, int] = {}
     for p, n in tokens.items():
         for s in members[p]:
@@ -187,14 +195,14 @@ def mix(
         rows.append((p, whole[p], at, rest, group, *own))
     plan = docs.sparkSession.createDataFrame(
         rows,
-        "mix_pattern string, mix_whole bigint, mix_at bigint, mix_rest bigint, mix_grouped bigint, "
+        "mix_plan_pattern string, mix_inner_whole bigint, mix_inner_at bigint, mix_inner_rest bigint, mix_inner_grouped bigint, "
         "mix_source_size bigint, mix_target double",
     )
-    here = F.floor(F.col("mix_size") * F.col("mix_rest") / F.col("mix_grouped"))
+    here = F.floor(F.col("mix_size") * F.col("mix_inner_rest") / F.col("mix_inner_grouped"))
     if whole_documents:
-        here = F.when(2 * F.col("mix_rest") >= F.col("mix_grouped"), F.col("mix_size")).otherwise(0)
-    before, at_cut = F.col("mix_place") < F.col("mix_at"), F.col("mix_place") == F.col("mix_at")
+        here = F.when(2 * F.col("mix_inner_rest") >= F.col("mix_inner_grouped"), F.col("mix_size")).otherwise(0)
+    before, at_cut = F.col("mix_inner_place") < F.col("mix_inner_at"), F.col("mix_inner_place") == F.col("mix_inner_at")
     further = F.when(before, F.col("mix_size")).when(at_cut, here)
-    taken = (F.col("mix_whole") * F.col("mix_size") + F.coalesce(further, F.lit(0))).cast("bigint")
-    mixed = known.join(F.broadcast(plan), known.mix_pattern.eqNullSafe(plan.mix_pattern)).withColumn("mix_taken", taken)
-    return mixed.select(docs.columns + ["mix_size", "mix_taken", "mix_source_size", "mix_target"])
+    taken = (F.col("mix_inner_whole") * F.col("mix_size") + F.coalesce(further, F.lit(0))).cast("bigint")
+    mixed = known.join(F.broadcast(plan), F.col("mix_inner_pattern") == F.col("mix_plan_pattern")).withColumn("mix_taken", taken)
+    return mixed.select([n for n in docs.columns if n not in RESULTS] + RESULTS)

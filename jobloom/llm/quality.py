@@ -185,8 +185,8 @@ def train_on_some(
     """
     known = labels.select(F.col(id_col), F.col(label_col).alias("y")).where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1))
     some = known.orderBy(F.xxhash64(id_col), id_col, "y").limit(most).withColumnRenamed(id_col, "labelled_id")
-    found = docs.join(F.broadcast(some), F.col(id_col) == F.col("labelled_id"))
-    return fit(found.select(F.col(text_col).cast("string").alias("x"), "y"))
+    texts = docs.select(F.col(id_col).alias("labelled_id"), F.col(text_col).cast("string").alias("x"))
+    return fit(texts.join(F.broadcast(some), "labelled_id").select("x", "y"))
 
 
 def score(x: DataFrame, model: Discriminant | Constant, id_col: str = "doc_id") -> DataFrame:

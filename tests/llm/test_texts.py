@@ -329,6 +329,45 @@ def test_route_prefers_first_uses():
     assert sum(x.get("a", 0) for x in routes.values()) == 25
 
 
+def test_route_is_a_cheapest_flow():
+    from itertools import product
+
+    rng = np.random.default_rng(7)
+    for _ in range(25):
+        tokens = {p: int(rng.integers(0, 4)) for p in ("a", "ab", "bc")}
+        members = {p: [*p] for p in tokens}
+        quotas = {s: int(rng.integers(0, 6)) for s in "abc"}
+        arcs = [(p, s) for p in tokens for s in members[p]]
+        best = None
+        for amounts in product(*(range(min(2 * tokens[p], quotas[s]) + 1) for p, s in arcs)):
+            used = {p: sum(x for (q, _), x in zip(arcs, amounts, strict=True) if q == p) for p in tokens}
+            given = {s: sum(x for (_, t), x in zip(arcs, amounts, strict=True) if t == s) for s in quotas}
+            if all(used[p] <= 2 * tokens[p] for p in tokens) and all(given[s] <= quotas[s] for s in quotas):
+                found = (-sum(amounts), sum(max(0, used[p] - tokens[p]) for p in tokens))
+                best = found if best is None else min(best, found)
+        routes = mixing.route(tokens, members, quotas, 2)
+        used = {p: sum(x.values()) for p, x in routes.items()}
+        given = {s: sum(x.get(s, 0) for x in routes.values()) for s in quotas}
+        assert all(used[p] <= 2 * tokens[p] for p in tokens) and all(given[s] <= quotas[s] for s in quotas)
+        assert (-sum(used.values()), sum(max(0, used[p] - tokens[p]) for p in tokens)) == best
+
+
+def test_mix_of_overlapping_sources(spark):
+    rng = np.random.default_rng(1)
+    kinds = [["a"], ["a", "b"], ["b"], ["b", "c"], ["c"], None, []]
+    rows = [(i, " ".join("w" * int(n)), kinds[i % 7], 7, "x") for i, n in enumerate(rng.integers(1, 60, 400))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, some array<string>, mix_size int, mix_pattern string")
+    got = mixing.mix(frame, F.col("some")).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "some", "mix_pattern", *mixing.RESULTS}
+    assert all(r.mix_taken <= 2 * r.mix_size for r in got) and len(got) == len(rows)
+    assert all(r.mix_taken == 0 for r in got if not r.some)
+    sizes = {s: sum(r.mix_size for r in got if s in (r.some or [])) for s in "abc"}
+    total = 1.5 * sum(r.mix_size for r in got)
+    targets = mixing.share_targets([5, 2, 1], [2 * sizes[s] for s in "abc"], total)
+    taken = sum(r.mix_taken for r in got)
+    assert taken == pytest.approx(min(sum(map(round, targets)), 2 * sum(r.mix_size for r in got if r.some)), abs=8)
+
+
 def test_mix_meets_targets(spark):
     rng = np.random.default_rng(2)
     texts = ["w " * int(n) for n in rng.integers(0, 90, 120)] + [None, "", "a b"]
