@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; on one machine, where it is unset, one beside the warehouse."""
+    """Use the folder in spark.checkpoint.dir; on one machine, where it is unset, a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jobloom-checkpoint-"))
 
 
 def shared_folder(spark: SparkSession) -> str:
