@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,13 +15,13 @@ PARTS = 12
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir; on one machine, where that is unset, to one beside the warehouse."""
+    """df, written to the folder in spark.checkpoint.dir; on one machine, where that is unset, to a temporary one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jobloom-checkpoint-"))
     return df.checkpoint()
 
 
