@@ -78,9 +78,8 @@ class WordEncoder:
         words = lower.split()
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        for word in set(words):
-            if word not in self.known:
-                self._word(word)
+        for word in set(words).difference(self.known):
+            self._word(word)
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.uint32)
 
 
@@ -103,6 +102,7 @@ class Windows:
         self.window, self.next_id, self.most = window, first_id, most
         self.counts = np.zeros(window + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
+        self.n_open = 0
 
     def _close(self, pieces: list) -> tuple[int, list]:
         self.next_id += 1
@@ -110,11 +110,13 @@ class Windows:
 
     def _take(self, level: int) -> list:
         self.counts[level] -= 1
+        self.n_open -= 1
         return self.open[level].pop()
 
     def _keep(self, level: int, pieces: list) -> None:
         self.open.setdefault(level, []).append(pieces)
         self.counts[level] += 1
+        self.n_open += 1
 
     def place(self, piece) -> list[tuple[int, list]]:
         """Put a piece (key, start, ids, doc_tokens) where the sum of squared counts ends smallest; the fullest on ties.
@@ -135,7 +137,7 @@ class Windows:
         if level + size == self.window:
             return [self._close(pieces)]
         self._keep(level + size, pieces)
-        return [self._fill_fullest()] if self.counts.sum() > self.most else []
+        return [self._fill_fullest()] if self.n_open > self.most else []
 
     def _fill_fullest(self) -> tuple[int, list]:
         level = int(np.flatnonzero(self.counts)[-1])

@@ -58,9 +58,8 @@ class SpanEncoder:
         pieces = _PIECE.findall(text)
         if len(self.known) > self.most:
             self.known.clear()
-        for p in set(pieces):
-            if p not in self.known:
-                self.known[p] = self._spans(p, self._tokens(p))
+        for p in set(pieces).difference(self.known):
+            self.known[p] = self._spans(p, self._tokens(p))
         spans = [self.known[p] for p in pieces]
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         counts = np.fromiter((len(s) for s, _ in spans), dtype=np.int64, count=len(pieces)) // 4
