@@ -31,16 +31,19 @@ def shared_folder(spark: SparkSession) -> str:
 _OPEN: list[list[str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, outlast: bool = False) -> DataFrame:
     """Write df to a table in the checkpoint folder and go on from there, so that a lost executor costs one stage only.
 
+    With outlast the table stays when the innermost scratch block ends.
+
     A table and not a checkpoint: it is compressed, later reads take the columns they need, and what the optimizer has
     inferred about rows does not pile up over rounds.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    holders = _OPEN[:-1] if outlast else _OPEN
+    if holders:
+        holders[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
