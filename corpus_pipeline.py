@@ -37,11 +37,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     prepare(spark)
     numbered = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    placed = near_copies.similar_groups(numbered, ROW, width=5, least="0.8")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
-    rows = cut(numbered.select(ROW, order.alias("order")).join(placed, ROW).select(ROW, "order", "component"))
-    chosen = rows.groupBy("component").agg(F.min("order").alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
-    dropped = cut(rows.select(ROW).join(chosen, ROW, "left_anti"))
+    with scratch(spark):
+        placed = near_copies.similar_groups(numbered, ROW, width=5, least="0.8")
+        rows = cut(numbered.select(ROW, order.alias("order")).join(placed, ROW).select(ROW, "order", "component"))
+        chosen = rows.groupBy("component").agg(F.min("order").alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
+        dropped = cut(rows.select(ROW).join(chosen, ROW, "left_anti"), outlast=True)
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     return numbered.join(dropped, ROW, "left_anti").select(docs.columns)
